@@ -27,7 +27,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,33 +37,52 @@ from ..functions.storage import shared_table
 
 COLUMNS = 1 << 15  # hashed terms; 0 is the end of a sentence
 BACKGROUND = 6
-ROUNDS = 4
+ROUNDS = 3
 LABEL_BOUND = 20_000
 #: A word seen SEEN times in labelled documents can belong to a subject only with COMMON_SHARE times its even share there.
 SEEN, COMMON_SHARE = 6.0, 3.0
-_INNER = 6  # updates of W per document and pass
+_INNER = 4  # updates of W per document and pass
 _SMOOTH = 1e-3
-_TOKEN = re.compile(r"[^\W\d_]{3,24}|[.?!:;](?=\s|$)|\n|\\n")
 _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})")
 _NOISE = re.compile(r"[A-Za-z0-9+/=]{60,}")
+_END = b"\x00"
+_NO_TERM = 0xFFFF
+_BLANKS = bytes(b if b >= 0x80 or chr(b).isalpha() or b == 0 else 0x20 for b in range(256))
 
 
-@lru_cache(maxsize=200_000)
-def _column(word: str) -> int:
-    """The column of a word, without a plural ending; 0 ends a sentence."""
-    if not word[0].isalpha():
-        return 0
-    if len(word) > 4 and word.endswith("s") and not word.endswith("ss"):
-        word = word[:-1]
-    return 1 + zlib.crc32(word.encode("utf-8", "surrogatepass")) % (COLUMNS - 1)
+class _Columns(dict):
+    """Word -> column, without a plural ending; remembers a bounded number of words."""
+
+    def __missing__(self, spelt: bytes) -> int:
+        word = spelt.decode("utf-8", "replace")
+        if spelt == _END:
+            column = 0
+        elif not 3 <= len(word) <= 24 or not word.isalpha():
+            column = _NO_TERM
+        else:
+            stem = word[:-1] if len(word) > 4 and word.endswith("s") and not word.endswith("ss") else word
+            column = 1 + zlib.crc32(stem.encode("utf-8", "surrogatepass")) % (COLUMNS - 1)
+        if len(self) > 300_000:
+            self.clear()
+        self[spelt] = column
+        return column
+
+
+_COLUMNS_OF = _Columns()
 
 
 def terms(text: str) -> np.ndarray:
     """The columns of a text's words in order, 0 between sentences and lines."""
-    text = _NOISE.sub(" ", text)
+    if max(map(len, text.split()), default=0) >= 60:
+        text = _NOISE.sub(" ", text)  # base64 and the like
     if "\\u" in text:
         text = _ESCAPE.sub(lambda m: chr(int(m[1], 16)), text)
-    return np.fromiter((_column(w) for w in _TOKEN.findall(text.lower())), np.uint16)
+    raw = text.lower().encode("utf-8", "surrogatepass")
+    for end in (b"\\n", b"\n", b". ", b"? ", b"! ", b": ", b"; "):
+        raw = raw.replace(end, b" \x00 ")
+    of = _COLUMNS_OF
+    found = np.array([of[w] for w in raw.translate(_BLANKS).split()], np.uint16)
+    return found[found != _NO_TERM]
 
 
 def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,24 +107,24 @@ class Matrix:
         key, self.count = np.unique(self.doc_of[words] * COLUMNS + self.flat[words], return_counts=True)
         self.doc, self.column, self.n_docs = key // COLUMNS, key % COLUMNS, len(parts)
         # a word counts once and a little more for being repeated
-        self.count = 1.0 + np.log(self.count)
+        self.count = (1.0 + np.log(self.count)).astype(np.float32)
 
     def factor(self, h: np.ndarray, allowed: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         """(W, X / (W H) by entry) after the inner updates, for fixed H with rows that add up to 1."""
         k = h.shape[0]
-        w = np.ones((self.n_docs, k)) if allowed is None else allowed.astype(float)
-        hc = h[:, self.column].T  # entries x components
+        w = np.ones((self.n_docs, k), np.float32) if allowed is None else allowed.astype(np.float32)
+        hc = np.ascontiguousarray(h.T.astype(np.float32)[self.column])  # entries x components
         starts = np.searchsorted(self.doc, np.arange(self.n_docs))
         empty = starts == np.append(starts[1:], len(self.doc))
-        ratio = np.zeros(len(self.doc))
+        ratio = np.zeros(len(self.doc), np.float32)
         for _ in range(_INNER):
-            ratio = self.count / np.maximum((w[self.doc] * hc).sum(axis=1), 1e-12)
+            ratio = self.count / np.maximum(np.einsum("ek,ek->e", w[self.doc], hc), 1e-12)
             if len(self.doc):
                 gain = np.add.reduceat(hc * ratio[:, None], np.minimum(starts, len(self.doc) - 1), axis=0)
                 gain[empty] = 0
                 w *= gain
         if len(self.doc):
-            ratio = self.count / np.maximum((w[self.doc] * hc).sum(axis=1), 1e-12)
+            ratio = self.count / np.maximum(np.einsum("ek,ek->e", w[self.doc], hc), 1e-12)
         return w, ratio
 
 
@@ -251,3 +269,117 @@ def fit_weights(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> np.ndarray:
 
 def decide(x: np.ndarray, beta: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(_design(x) @ beta, -30, 30)))
+
+
+# --------------------------------------------------------------------------- on DataFrames
+
+
+def features(documents: DataFrame) -> DataFrame:
+    """doc_id and packed terms of every document with text, written to the shared folder (each later pass reads it)."""
+    read = documents.select("doc_id", "text").mapInArrow(_read, "doc_id long, terms binary")
+    return shared_table(read, "terms")
+
+
+def _labels(labels: DataFrame, codes: list[str], bound: int) -> dict[int, np.ndarray]:
+    """Label counts by subject of at most ``bound`` documents, chosen by a hash of their id."""
+    rows = (
+        labels.filter(F.col("subject_code").isin(codes) & F.col("doc_id").isNotNull())
+        .groupBy("doc_id", "subject_code").agg(F.countDistinct("annotator").alias("n"))
+        .groupBy("doc_id").agg(F.collect_list(F.struct("subject_code", "n")).alias("found"))
+        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound).collect()
+    )
+    at = {c: i for i, c in enumerate(codes)}
+    out: dict[int, np.ndarray] = {}
+    for row in rows:
+        out[row["doc_id"]] = counts = np.zeros(len(codes))
+        for x in row["found"]:
+            counts[at[x["subject_code"]]] += max(1, x["n"])
+    return out
+
+
+class Model:
+    """What the factorisation gave: the share of each subject in each column, and the weights of the evidence."""
+
+    def __init__(self, codes: list[str], share: np.ndarray, weights: np.ndarray) -> None:
+        self.codes, self.share, self.weights = codes, share.astype(np.float32), weights
+
+
+def fit(spark: SparkSession, terms_table: DataFrame, subjects: DataFrame, labels: DataFrame, rounds: int = ROUNDS, bound: int = LABEL_BOUND) -> Model:
+    """Factors the whole corpus; each round is one pass, of which the driver gets arrays of a fixed size."""
+    # the subjects are a fixed list of a few codes
+    listed = sorted((r["subject_code"], f"{r['subject_name']} {r['description']}") for r in subjects.collect() if r["subject_code"])
+    codes, descriptions = [c for c, _ in listed], [d for _, d in listed]
+    n = len(codes)
+    labelled = _labels(labels, codes, bound)
+    known = spark.sparkContext.broadcast(labelled)
+
+    def seeds(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = np.zeros((n + 1, COLUMNS))
+        for ids, packed in _slices(batches):
+            seed_counts(ids, packed, known.value, n, totals)
+        yield _pack(totals)
+
+    h = start(_summed(terms_table.mapInArrow(seeds, "component int, cells binary"), n + 1), descriptions)
+    for _ in range(rounds):
+        current = spark.sparkContext.broadcast(h.astype(np.float32))
+
+        def one_round(batches: Iterable[pa.RecordBatch], current=current) -> Iterator[pa.RecordBatch]:
+            totals = np.zeros((n + BACKGROUND, COLUMNS))
+            for ids, packed in _slices(batches):
+                update_counts(ids, packed, known.value, current.value, totals)
+            yield _pack(totals)
+
+        totals = _summed(terms_table.mapInArrow(one_round, "component int, cells binary"), n + BACKGROUND)
+        h = _normal(totals + np.where(h > 0, 1e-9, 0))
+    share = shares(totals, n) if rounds else shares(h, n)
+
+    shared = spark.sparkContext.broadcast(share.astype(np.float32))
+
+    def of_labelled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, packed in _slices(batches):
+            mine = [i for i, d in enumerate(ids) if d in known.value]
+            x = evidence([packed[i] for i in mine], shared.value).astype(np.float32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([ids[i] for i in mine], pa.int64()), pa.array([e.tobytes() for e in x], pa.binary())], names=["doc_id", "evidence"]
+            )
+
+    # at most LABEL_BOUND rows
+    rows = terms_table.mapInArrow(of_labelled, "doc_id long, evidence binary").collect() if labelled else []
+    x = np.stack([np.frombuffer(r["evidence"], np.float32).reshape(n, 4) for r in rows]) if rows else np.zeros((0, n, 4))
+    y = np.stack([labelled[r["doc_id"]] > 0 for r in rows]) if rows else np.zeros((0, n), bool)
+    return Model(codes, share, fit_weights(x, y))
+
+
+def assign(spark: SparkSession, terms_table: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """doc_id, subject_code, share (of the document's subject words) and score of every subject a document is about."""
+    shared = spark.sparkContext.broadcast(model)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for ids, packed in _slices(batches):
+            x = evidence(packed, m.share)
+            score = decide(x, m.weights)
+            doc, subject = np.nonzero(score > threshold)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.array(ids, dtype=np.int64)[doc]), pa.array([m.codes[k] for k in subject], pa.string()),
+                 pa.array(x[doc, subject, 2]), pa.array(score[doc, subject])],
+                names=["doc_id", "subject_code", "share", "score"],
+            )
+
+    return terms_table.mapInArrow(run, "doc_id long, subject_code string, share double, score double")
+
+
+def subject_areas(spark: SparkSession, documents: DataFrame, subjects: DataFrame, labels: DataFrame) -> DataFrame:
+    """The subjects of every document: see the module's text."""
+    table = features(documents)
+    return assign(spark, table, fit(spark, table, subjects, labels))
+
+
+def composition(assigned: DataFrame) -> DataFrame:
+    """subject_code, documents, weight: the corpus by subject (a document of two subjects counts by its shares)."""
+    per_doc = assigned.groupBy("doc_id").agg(F.sum("share").alias("all_share"))
+    return (
+        assigned.join(per_doc, "doc_id")
+        .groupBy("subject_code")
+        .agg(F.count("*").alias("documents"), F.sum(F.col("share") / F.col("all_share")).alias("weight"))
+    )

@@ -107,7 +107,8 @@ def _recent() -> list[Column]:
 def _page(rows: DataFrame, order: list[Column], limit: int, offset: int, files: DataFrame) -> DataFrame:
     page = rows.orderBy(*order)
     page = (page.offset(offset) if offset > 0 else page).limit(limit)
-    return _with_counts(page, files, limit <= BROADCAST_ROWS)
+    # the page was one partition already; counting its files has lost the order
+    return _with_counts(page, files, limit <= BROADCAST_ROWS).coalesce(1).sortWithinPartitions(*order)
 
 
 def browse(albums: DataFrame, files: DataFrame, indexed: bool | None = None, limit: int = 20, offset: int = 0) -> DataFrame:

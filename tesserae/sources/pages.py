@@ -78,7 +78,7 @@ def parse_album(page: str) -> dict:
     if array is None:
         return out | {"parse_error": True}
     items = list(_ITEM.finditer(array))
-    for item, after in zip(items, [*items[1:], None], strict=True):
+    for item, after in zip(items, [*items[1:], None], strict=False):
         held = {"id": item[1]}
         for field in _FIELD.finditer(array, item.end(), after.start() if after else len(array)):
             held[field[1]] = script_text(field["text"][1:-1]) if field["text"] is not None else field["number"]

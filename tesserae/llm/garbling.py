@@ -65,6 +65,8 @@ SUPPORT_SHARE = 1e-5
 SEQUENCE_BITS = {2: 3.0, 3: 24.0, 4: 24.0}
 #: The same for dashes, quotes and signs (U+2000 to U+22FF), which corpora hold too rarely to speak for themselves.
 PUNCTUATION_BITS = 44.0
+#: Share of known pairs that a text restored by other mappings than UTF-8 needs.
+KNOWN_SHARE = 0.7
 _SEPARATORS = frozenset(" _-.,()")
 _INVISIBLE = frozenset(" ­   　​‌‍⁠﻿")
 
@@ -188,6 +190,12 @@ class PairCounts:
         self.cache[(a, b)] = got = (float(log_p), float(info))
         return got
 
+    def known(self, text: str) -> float:
+        """The share of a run's pairs outside ASCII that the corpus holds."""
+        pairs = [(a, b) for a, b in zip(" " + text, text + " ", strict=True) if a > "\x7f" or b > "\x7f"]
+        s = symbols()
+        return sum(self._get(int(s[ord(a)]), int(s[ord(b)])) > 0 for a, b in pairs) / max(1, len(pairs))
+
     def bits(self, text: str) -> float:
         """log2 of the probability of a run between separators."""
         total, before = 0.0, " "
@@ -314,7 +322,7 @@ def _decodings(run: str, strict: bool) -> Iterator[tuple[str, float, bool]]:
     """(text, margin it must win by, whether all of it was recovered) of every inverse mapping that applies.
 
     strict: only whole UTF-8, for runs that hold another problem's dirt."""
-    for variant in (run,) if strict else dict.fromkeys((run, _upper(run))):
+    for variant in (run,) if strict and max(run) > "\xff" else dict.fromkeys((run, _upper(run))):
         only_utf8 = strict or variant != run
         utf8 = _may_hold_utf8(variant)
         if only_utf8 and not utf8:
@@ -362,7 +370,8 @@ def repair_run(run: str, counts: PairCounts, depth: int = 3) -> tuple[str, bool]
     best_gain = 0.0
     for text, margin, whole in _decodings(run, dirt):
         gain = counts.bits(text) - now - margin
-        if gain > best_gain:
+        # without the form of UTF-8 to speak for it, a text must be made of pairs that the corpus knows
+        if gain > best_gain and (margin < MARGIN_UTF8 or not whole or counts.known(text) >= KNOWN_SHARE):
             best, best_gain = (text, whole), gain
     if best and depth > 1 and best[1] and not best[0].isascii() and (more := repair_run(best[0], counts, depth - 1)):
         return more

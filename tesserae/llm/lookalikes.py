@@ -50,6 +50,7 @@ for _script, _pairs in _BY_SCRIPT.items():
 # Lower-case Cyrillic and Greek letters that only resemble a Latin letter in some fonts: never alone a reason to map a word.
 _WEAK = frozenset("ькпгвмтнγητωσεμβυκ")
 
+_TURKISH = frozenset("ğşçöüâîûĞŞÇÖÜİ")
 _FILLERS = frozenset("͏ᅟᅠㅤﾠ᠎឴឵")
 _KEPT_SYMBOLS = frozenset("ªº")
 _JOINING = ("ARABIC", "SYRIAC", "DEVANAGARI", "BENGALI", "GURMUKHI", "GUJARATI", "ORIYA", "TAMIL", "TELUGU", "KANNADA", "MALAYALAM", "SINHALA", "MONGOLIAN", "KHMER", "MYANMAR", "TIBETAN")
@@ -126,7 +127,7 @@ def _map_word(word: str) -> str:
             return word  # wholly in its own script
         if all(c in _WEAK for c in stand_ins if _SCRIPT_OF[c] != "latin") and not any(c.isascii() for c in others):
             return word
-    elif any(not c.isascii() for c in others):
+    elif set(stand_ins) == {"ı"} and not _TURKISH.isdisjoint(unicodedata.normalize("NFC", word)):
         return word  # a dotless i among letters that are Turkish too
     return unicodedata.normalize("NFC", "".join(LOOKS_LATIN.get(c, c) for c in apart))
 

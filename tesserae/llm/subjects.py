@@ -200,7 +200,7 @@ def start(totals: np.ndarray, descriptions: list[str]) -> np.ndarray:
     h = np.zeros((n + BACKGROUND, COLUMNS))
     h[:n] = level * np.clip(share - 1.5 / n, 0, None) ** 2 + base * 1e-3
     # multiplicative updates keep a zero: words that labelled documents of many subjects share stay in the background
-    h[:n][(share < COMMON_SHARE / n) & (seen >= SEEN)] = 0
+    h[:n][(share < min(COMMON_SHARE / n, 0.5)) & (seen >= SEEN)] = 0
     h[n:] = base * np.random.default_rng(7).uniform(0.5, 1.5, (BACKGROUND, COLUMNS))
     return _normal(h)
 

@@ -370,8 +370,9 @@ def repair_run(run: str, counts: PairCounts, depth: int = 3) -> tuple[str, bool]
     best_gain = 0.0
     for text, margin, whole in _decodings(run, dirt):
         gain = counts.bits(text) - now - margin
-        # without the form of UTF-8 to speak for it, a text must be made of pairs that the corpus knows
-        if gain > best_gain and (margin < MARGIN_UTF8 or not whole or counts.known(text) >= KNOWN_SHARE):
+        # without the form of UTF-8 to speak for it, or in a run of stand-ins, a text must be made of pairs that the corpus knows
+        formed = not dirt and (margin < MARGIN_UTF8 or not whole)
+        if gain > best_gain and (formed or counts.known(text) >= KNOWN_SHARE):
             best, best_gain = (text, whole), gain
     if best and depth > 1 and best[1] and not best[0].isascii() and (more := repair_run(best[0], counts, depth - 1)):
         return more

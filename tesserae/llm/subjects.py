@@ -350,7 +350,7 @@ def fit(spark: SparkSession, terms_table: DataFrame, subjects: DataFrame, labels
     return Model(codes, share, fit_weights(x, y))
 
 
-def assign(spark: SparkSession, terms_table: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+def assign(spark: SparkSession, terms_table: DataFrame, model: Model, threshold: float = 0.35) -> DataFrame:
     """doc_id, subject_code, share (of the document's subject words) and score of every subject a document is about."""
     shared = spark.sparkContext.broadcast(model)
 

@@ -9,8 +9,13 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def fold(column: str | Column) -> Column:
-    """ASCII-only case folding: what LIKE and NOCASE compare by."""
-    return F.translate(column, UPPER, LOWER)
+    """ASCII-only case folding: what LIKE and NOCASE compare by.
+
+    ``translate`` looks every character up in a map; texts that are all ASCII
+    take the byte loop of ``lower`` instead, which folds them in the same way.
+    """
+    column = column if isinstance(column, Column) else F.col(column)
+    return F.when(F.octet_length(column) == F.char_length(column), F.lower(column)).otherwise(F.translate(column, UPPER, LOWER))
 
 
 def file_extension(name: str | Column) -> Column:

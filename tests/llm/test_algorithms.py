@@ -101,6 +101,16 @@ def test_copies(spark):
     assert D.members(keyed, classed).count() == 0
 
 
+def test_a_stored_ledger_takes_batches(spark, tmp_path):
+    df = spark.createDataFrame(NAMES, "id long, album_id string, size long, name string")
+    keyed = D.keys(df, "name", "id", ["album_id", "size"], True, "files")
+    for part in ("id > 9", "id <= 9 AND id > 2", "id <= 2", "id > 99"):
+        D.update_stored(spark, str(tmp_path / "ledger"), D.aggregate(keyed.filter(part)))
+    columns = D.aggregate(keyed).columns
+    stored = spark.read.parquet(str(tmp_path / "ledger")).select(columns)
+    assert sorted(map(str, stored.collect())) == sorted(map(str, D.aggregate(keyed).collect()))
+
+
 def test_a_hot_class(spark, monkeypatch):
     monkeypatch.setattr(D, "HOT_LEAST", 10)
     rows = [(i, "A", 1, "Same - name.jpg" if i % 3 else "name SAME.jpg") for i in range(1, 301)] + [(i, "A", 1, f"n {i // 2}.jpg") for i in range(400, 420)]

@@ -4,7 +4,10 @@ The detector works in three steps, all of them fed by counts over the whole
 corpus:
 
 1. every adjacent character pair of every value is counted into a sketch of
-   fixed size (``PairCounts``), partition by partition, and the sketches add;
+   fixed size (``PairCounts``), partition by partition, and the sketches add.
+   Values outside ASCII count once, however many rows hold them and whatever
+   their numbers are: a wrong reading that is held by many rows is no more
+   probable for it;
 2. in a value, each pair gets its mutual information under those counts,
    discounted where the pair has little support.  Pairs that could be the
    bytes of one multi-byte character under some wrong reading are held out of
@@ -196,14 +199,25 @@ class PairCounts:
         s = symbols()
         return sum(self._get(int(s[ord(a)]), int(s[ord(b)])) > 0 for a, b in pairs) / max(1, len(pairs))
 
-    def bits(self, text: str) -> float:
-        """log2 of the probability of a run between separators."""
+    def bits(self, text: str, reader: str | None = None) -> float:
+        """log2 of the probability of a run between separators.
+
+        reader: a single-byte codec under which the run is UTF-8; the pairs inside its characters are then held out.
+        """
         total, before = 0.0, " "
+        table = _ENCODERS.get(reader, {})
         for c in text + " ":
-            total += self.pair(before, c)[0]
+            inside = before > "\x7f" and c > "\x7f" and 0x80 <= table.get(c, 0) <= 0xBF
+            total += self._unseen(before, c) if inside else self.pair(before, c)[0]
             before = c
         return total
 
+    def _unseen(self, a: str, b: str) -> float:
+        """log2 P(b | a) as if the corpus did not hold the pair."""
+        s = symbols()
+        one, two = self._get(int(s[ord(a)]), _UNIGRAM), self._get(int(s[ord(b)]), _UNIGRAM)
+        return math.log2(2 * (two + 0.5) / (self.total + 0.5 * 0x110000 / 64) / (one + 2))
+
 
 def _encoders() -> dict[str, dict[str, int]]:
     """For each single-byte reader: character -> byte, with the C1 controls that lenient readers let through."""
@@ -318,8 +332,8 @@ def _sequence_bits(text: str) -> float:
     )
 
 
-def _decodings(run: str, strict: bool) -> Iterator[tuple[str, float, bool]]:
-    """(text, margin it must win by, whether all of it was recovered) of every inverse mapping that applies.
+def _decodings(run: str, strict: bool) -> Iterator[tuple[str, float, bool, str | None]]:
+    """(text, margin it must win by, whether all of it was recovered, codec that reads the run as UTF-8) of every inverse mapping that applies.
 
     strict: only whole UTF-8, for runs that hold another problem's dirt."""
     for variant in (run,) if strict and max(run) > "\xff" else dict.fromkeys((run, _upper(run))):
@@ -331,6 +345,7 @@ def _decodings(run: str, strict: bool) -> Iterator[tuple[str, float, bool]]:
             raw = _encode(variant, read)
             if raw is None:
                 continue
+            reader = read if variant == run and read not in _MULTI else None
             for written in writers:
                 if written == "utf-8" and not utf8 or written != "utf-8" and only_utf8:
                     continue
@@ -343,16 +358,16 @@ def _decodings(run: str, strict: bool) -> Iterator[tuple[str, float, bool]]:
                     lost = text.count("\ufffd")
                     good = sum(c > "\x7f" and c != "\ufffd" and c.isalpha() for c in text)
                     if good > lost and not strict:
-                        yield text, MARGIN_UTF8 + 12 * lost - _sequence_bits(text), False
+                        yield text, MARGIN_UTF8 + 12 * lost - _sequence_bits(text), False, reader
                     continue
                 if text == variant or text.isascii() or not _plain(text):
                     continue
                 if written == "utf-8":
-                    yield text, MARGIN_UTF8 - _sequence_bits(text), True
+                    yield text, MARGIN_UTF8 - _sequence_bits(text), True, reader
                 elif variant.isupper() and text.islower():  # the letters of one code are the capitals of the other
-                    yield text, 0.0, True
+                    yield text, 0.0, True, None
                 else:
-                    yield text, MARGIN_MULTI if written in _MULTI else MARGIN_SINGLE, True
+                    yield text, MARGIN_MULTI if written in _MULTI else MARGIN_SINGLE, True, None
 
 
 def _only_dirt(run: str) -> bool:
@@ -368,8 +383,9 @@ def repair_run(run: str, counts: PairCounts, depth: int = 3) -> tuple[str, bool]
     best, now = None, counts.bits(run)
     dirt = _only_dirt(run)
     best_gain = 0.0
-    for text, margin, whole in _decodings(run, dirt):
-        gain = counts.bits(text) - now - margin
+    for text, margin, whole, reader in _decodings(run, dirt):
+        stands = min(now, counts.bits(run, reader)) if reader else now
+        gain = counts.bits(text) - stands - margin
         # without the form of UTF-8 to speak for it, or in a run of stand-ins, a text must be made of pairs that the corpus knows
         formed = not dirt and (margin < MARGIN_UTF8 or not whole)
         if gain > best_gain and (formed or counts.known(text) >= KNOWN_SHARE):
@@ -430,15 +446,28 @@ def _split(run: str) -> list[str]:
 # --------------------------------------------------------------------------- on DataFrames
 
 
+def _form(column: str):
+    """A value without what sets the names of a series apart: case, numbers and separators in ASCII."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    numbers = F.regexp_replace(F.translate(F.col(column), upper, lower), "[0-9]+", "0")
+    return F.regexp_replace(numbers, r"[\x00-/:-@\[-`{-\x7f]+", " ")
+
+
 def pair_counts(frames: list[DataFrame], log_width: int = LOG_WIDTH) -> PairCounts:
     """Pair counts over all text columns of all given frames (each frame: only text columns).
 
+    Values in ASCII are counted row by row, the others once for each form
+    (:func:`_form`), so no value outside ASCII gains by the rows that hold it.
     What reaches the driver is at most 2 * 2**log_width cells of two longs,
     whatever the size of the corpus.  Empty input gives empty counts.
     """
-    counted = [
-        df.mapInArrow(lambda batches: count_pairs(batches, log_width), "cell long, n long") for df in frames
+    plain = [df.select(*[F.when(~not_ascii(c), F.col(c)).alias(c) for c in df.columns]) for df in frames]
+    others = [
+        df.filter(reduce(lambda a, b: a | b, [not_ascii(c) for c in df.columns])).select(F.explode(F.array(*df.columns)).alias("value")).filter(not_ascii("value"))
+        for df in frames
     ]
+    forms = reduce(DataFrame.unionAll, others).select(_form("value").alias("form")).distinct()
+    counted = [df.mapInArrow(lambda batches: count_pairs(batches, log_width), "cell long, n long") for df in (*plain, forms)]
     summed = reduce(DataFrame.unionAll, counted).groupBy("cell").agg(F.sum("n").alias("n"))
     table = summed.toArrow()
     return PairCounts.of_cells(table["cell"].to_numpy(), table["n"].to_numpy(), log_width)

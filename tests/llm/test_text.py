@@ -81,6 +81,35 @@ def test_detect_frame(spark, counts):
     assert G.detect(spark, df.limit(0), counts).count() == 0
 
 
+HOT = [("crème", "utf-8", "cp1252"), ("море", "cp1251", "cp1252"), ("вечер", "utf-8", "cp1251"), ("берег", "koi8_r", "cp1251")]
+
+
+@pytest.mark.parametrize(("text", "written", "read"), HOT)
+@pytest.mark.parametrize("name", ["{0} 12.jpg", "{0} {1}.jpg"])
+def test_a_garbled_name_on_a_third_of_rows(spark, text, written, read, name):
+    """Neither one value nor a numbered series of them vouches for itself."""
+    bad = damage(text, written, read)
+    rows = [(v,) for v in [*CORPUS, *[name.format(bad, i) for i in range(len(CORPUS) // 2)]]]
+    r = G.Repairer(G.pair_counts([spark.createDataFrame(rows, "v string")]))
+    assert r.value(f"{bad} 12.jpg") == (f"{text} 12.jpg", True)
+    assert r.value(f"{text} 12.jpg") is None
+
+
+@pytest.mark.parametrize(("text", "written", "read"), [("blåbärsö", "utf-8", "cp1252"), ("смородина", "utf-8", "cp1251"), ("вечерег", "cp1251", "cp1252")])
+def test_unseen_words_on_a_third_of_rows(spark, text, written, read):
+    bad = damage(text, written, read)
+    rows = [(v,) for v in [*CORPUS, *[f"{bad} {i}.jpg" for i in range(len(CORPUS) // 2)]]]
+    r = G.Repairer(G.pair_counts([spark.createDataFrame(rows, "v string")]))
+    assert r.value(f"{bad} 12.jpg") == (f"{text} 12.jpg", True)
+
+
+def test_a_garbled_word_in_many_names(counts):
+    """In names of many forms, the form of UTF-8 still tells a wrong reading from the words that hold it."""
+    bad = damage("crème", "utf-8", "cp1252")
+    many = G.PairCounts.of_values([*CORPUS, *[f"{bad} {w} {v}" for w in WORDS for v in WORDS] * 10])
+    assert G.Repairer(many).value(f"{bad} 12.jpg") == ("crème 12.jpg", True)
+
+
 # --------------------------------------------------------------------------- look-alikes
 
 

@@ -439,19 +439,21 @@ _add(
 
 
 def _stream_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily arrivals of discovery cards from a stream with a watermark."""
+    """Daily arrivals of discovery cards from a stream with a watermark, the days that are still open included."""
     import uuid
 
     source = f"{sf_dir}/discovery_cards.parquet"
     schema = spark.read.parquet(source).schema
     out = f"{shared_dir(spark)}/arrivals-{uuid.uuid4().hex}"
     stream = ingest.arrivals(spark.readStream.schema(schema).parquet(f"{source}*"), late="30 days")
-    query = stream.writeStream.outputMode("append").option("checkpointLocation", f"{out}-state").trigger(availableNow=True).format("parquet").option("path", out).start()
+    query = stream.writeStream.outputMode("update").foreachBatch(ingest.upsert_windows(out)).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out).select(F.unix_micros("start").alias("start_us"), "cards")
+    return ingest.windows(spark, out).select(F.unix_micros("start").alias("start_us"), "cards")
 
 
 _QUERIES["stream_arrivals"] = _stream_arrivals
+_SQL["stream_arrivals"] = f"""SELECT epoch_us(date_trunc('day', seen_at)) AS start_us, count(*) AS cards
+FROM (SELECT DISTINCT {ALBUM_KEY}, page_no, seen_at FROM discovery_cards) GROUP BY 1"""
 
 
 def queries() -> dict[str, Query]:

@@ -72,7 +72,29 @@ def follow(stream: DataFrame, commit: Callable[[DataFrame, int], None], checkpoi
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 
+def upsert_windows(path: str) -> Callable[[DataFrame, int], None]:
+    """Keeps the last state of every window, open ones too: one Parquet folder a batch in update mode, named by its number.
+
+    A batch that is run again overwrites its own folder.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/{number}")
+
+    return run
+
+
+def windows(spark: SparkSession, path: str) -> DataFrame:
+    """The windows that :func:`upsert_windows` has kept, each as its last batch left it."""
+    stored = spark.read.schema("start timestamp, end timestamp, cards long, batch long").parquet(f"{path}/*")
+    return stored.groupBy("start", "end").agg(F.max_by("cards", "batch").alias("cards"))
+
+
 def arrivals(cards: DataFrame, late: str = "7 days", width: str = "1 day") -> DataFrame:
-    """Cards seen per window of event time, late ones within the watermark included, repeated rows once."""
+    """Cards seen per window of event time, late ones within the watermark included, repeated rows once.
+
+    In append mode a window is written once it is closed, so those of the last ``late`` are still missing; in update
+    mode (:func:`upsert_windows`) every window is there as it stands.
+    """
     once = cards.withWatermark("seen_at", late).dropDuplicatesWithinWatermark([ALBUM_KEY, "page_no", "seen_at"])
     return once.groupBy(F.window("seen_at", width)).agg(F.count("*").alias("cards")).select("window.start", "window.end", "cards")

@@ -90,21 +90,28 @@ def p4_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return percentiles.percentiles(percentiles.combine(*slices))
 
 
-def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = copies.keys(_table(spark, sf_dir, "files"), "search_name", "id", ["album_id", "size"], True, "files")
-    albums = copies.keys(_table(spark, sf_dir, "albums"), "title", "id", [], False, "albums")
+def _keyed(spark: SparkSession, sf_dir: str, recent: bool | None = None) -> DataFrame:
+    """The keyed rows of both tables; recent: only the rows of one of the two batches by arrival."""
+
+    def batch(name: str, arrival: str) -> DataFrame:
+        table = _table(spark, sf_dir, name)
+        return table if recent is None else table.filter(F.coalesce(F.year(arrival) >= 2024, F.lit(False)) == recent)
+
+    files = copies.keys(batch("files", "uploaded_at"), "search_name", "id", ["album_id", "size"], True, "files")
+    albums = copies.keys(batch("albums", "discovered_at"), "title", "id", [], False, "albums")
     return files.unionByName(albums)
 
 
-def _classes(rows: DataFrame) -> DataFrame:
-    """The classes of more than one row, stored: they are read three times."""
-    ledger = copies.update(None, copies.aggregate(rows))
-    return shared_table(copies.classes(ledger).filter("copies > 1"), "classes")
+def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger after two batches by arrival: copies of one class are in both."""
+    ledger = copies.update(None, copies.aggregate(_keyed(spark, sf_dir, recent=False)))
+    return copies.update(ledger, copies.aggregate(_keyed(spark, sf_dir, recent=True)))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _keyed(spark, sf_dir)
-    return copies.members(rows, _classes(rows))
+    # the classes of more than one row are stored: they are read three times
+    found = shared_table(copies.classes(_ledger(spark, sf_dir)).filter("copies > 1"), "classes")
+    return copies.members(_keyed(spark, sf_dir), found)
 
 
 def p5_records(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 from collections import Counter, defaultdict
@@ -119,6 +120,25 @@ def test_a_hot_class(spark, monkeypatch):
     assert got == Counter({1: 299} | {i: 1 for i in range(400, 420, 2)})
 
 
+def test_texts_glued_in_different_places():
+    assert D.same_text(".x harborvelvet kettle", ".x harbor velvetkettle")
+    assert D.same_text(".x 12 harborvelvet kettle", ".x 12 harbor velvetkettle")
+    assert D.same_text(". ab cdef g", ". abcd ef g") and D.same_text(". ab cdef gh ij", ". abcd efgh ij")
+    assert not D.same_text(".x 1 12 s", ".x 11 2 s") and not D.same_text(".x 12 3 4", ".x 1 2 34")  # other numbers
+    assert not D.same_text(".x listen kettle", ".x silent kettle") and not D.same_text(".x harborvelvet kettle", ".x harbor velvetkettel")
+
+
+def test_same_text_by_all_orders():
+    rng, orders = random.Random(8), lambda words: {"".join(p) for p in itertools.permutations(words)}
+    for _ in range(400):
+        text = "".join(rng.choice("abc") for _ in range(6))
+        one, two = ([p for p in "".join(c + rng.choice(["", " "]) for c in text).split() if p] for _ in range(2))
+        rng.shuffle(two)
+        if rng.random() < 0.5:
+            two = ["".join(rng.sample(w, len(w))) for w in two]
+        assert D._runs_alike(one, two) == bool(orders(one) & orders(two)), (one, two)
+
+
 def test_same_text_against_permutations():
     rng = random.Random(5)
     for _ in range(300):

@@ -41,6 +41,8 @@ ROUNDS = 3
 LABEL_BOUND = 20_000
 #: A word seen SEEN times in labelled documents can belong to a subject only with COMMON_SHARE times its even share there.
 SEEN, COMMON_SHARE = 6.0, 3.0
+#: Letters of the longest word that is a term; German compounds pass 24.
+LONGEST = 40
 _INNER = 4  # updates of W per document and pass
 _SMOOTH = 1e-3
 _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})")
@@ -57,7 +59,7 @@ class _Columns(dict):
         word = spelt.decode("utf-8", "replace")
         if spelt == _END:
             column = 0
-        elif not 3 <= len(word) <= 24 or not word.isalpha():
+        elif not 3 <= len(word) <= LONGEST or not word.isalpha():
             column = _NO_TERM
         else:
             stem = word[:-1] if len(word) > 4 and word.endswith("s") and not word.endswith("ss") else word

@@ -308,10 +308,16 @@ _add(
 )
 
 
-def _replace_albums(albums: DataFrame, files: DataFrame, outcomes: DataFrame) -> DataFrame:
+def _replacements(albums: DataFrame, files: DataFrame, outcomes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The albums of sound files as parsed again, and their numbers of files."""
     sound, _ = merge.split_duplicates(_batch(files, outcomes))
     counts = sound.groupBy("album_id").agg(F.count("*").alias("n"))
     parsed = albums.select(ALBUM_KEY, F.concat("title", F.lit(" +")).alias("title"), F.lit("").alias("thumb"), F.col("id").alias("pos")).join(counts.select(F.col("album_id").alias(ALBUM_KEY)), ALBUM_KEY, "left_semi")
+    return parsed, counts
+
+
+def _replace_albums(albums: DataFrame, files: DataFrame, outcomes: DataFrame) -> DataFrame:
+    parsed, counts = _replacements(albums, files, outcomes)
     return _shown(merge.replace_albums(albums.filter("attempts = 0"), parsed, counts, AS_OF))
 
 
@@ -326,6 +332,54 @@ _add(
     UNION ALL SELECT (SELECT max(id) FROM s) + row_number() OVER (ORDER BY pos), {ALBUM_KEY}, title, 0, '', 0, '', 0, {_NOW}, {_NOW}, {_NOW} FROM p WHERE {ALBUM_KEY} NOT IN (SELECT {ALBUM_KEY} FROM s)""",
 )
 
+# The same three merges over the whole albums and the whole batch. Every key of the tables is known there, so a tenth of
+# the batch comes once more under keys that are not.
+
+
+def _with_new(batch: DataFrame, number: str) -> DataFrame:
+    fresh = batch.filter(F.col(number) % 10 == 0).withColumn(ALBUM_KEY, F.concat(F.lit("new"), ALBUM_KEY))
+    return batch.unionByName(fresh)
+
+
+def _set_pending_whole(albums: DataFrame, cards: DataFrame) -> DataFrame:
+    return _shown(merge.set_pending(albums, _with_new(cards, "card_id").select(ALBUM_KEY, F.col("card_id").alias("pos")), AS_OF))
+
+
+def _replace_albums_whole(albums: DataFrame, files: DataFrame, outcomes: DataFrame) -> DataFrame:
+    parsed, counts = _replacements(albums, files, outcomes)
+    return _shown(merge.replace_albums(albums, _with_new(parsed, "pos"), counts, AS_OF))
+
+
+_ALL_CARDS = f"cards AS (SELECT * FROM discovery_cards UNION ALL SELECT * REPLACE ('new' || {ALBUM_KEY} AS {ALBUM_KEY}) FROM discovery_cards WHERE card_id % 10 = 0)"
+_add(
+    "upsert_discovered_whole", lambda a, c: _shown(merge.upsert_discovered(a, _with_new(c, "card_id"), AS_OF, ["seen_at", "card_id"])), ("albums", "discovery_cards"),
+    f"""WITH {_ALL_CARDS}, {_CARDS.replace("discovery_cards", "cards")}
+    SELECT s.id, s.{ALBUM_KEY}, coalesce(b.title, s.title) AS title, coalesce(b.file_count, s.file_count) AS file_count,
+      CASE WHEN b.thumb <> '' THEN b.thumb ELSE s.thumb END AS thumb, attempts, last_error, dead,
+      epoch_us(discovered_at) AS discovered_us, epoch_us(updated_at) AS updated_us, epoch_us(indexed_at) AS indexed_us FROM albums s LEFT JOIN b USING ({ALBUM_KEY})
+    UNION ALL SELECT (SELECT max(id) FROM albums) + row_number() OVER (ORDER BY first_card), {ALBUM_KEY}, title, file_count, thumb, 0, '', 0, {_NOW}, {_NOW}, NULL
+      FROM b WHERE {ALBUM_KEY} NOT IN (SELECT {ALBUM_KEY} FROM albums)""",
+)
+_add(
+    "set_pending_whole", _set_pending_whole, ("albums", "discovery_cards"),
+    f"""WITH {_ALL_CARDS}, b AS (SELECT {ALBUM_KEY}, min(card_id) AS pos FROM cards GROUP BY 1)
+    SELECT s.id, s.{ALBUM_KEY}, title, file_count, thumb, CASE WHEN pos IS NULL THEN attempts ELSE 0 END AS attempts, CASE WHEN pos IS NULL THEN last_error ELSE '' END AS last_error,
+      CASE WHEN pos IS NULL THEN dead ELSE 0 END AS dead, epoch_us(discovered_at) AS discovered_us, CASE WHEN pos IS NULL THEN epoch_us(updated_at) ELSE {_NOW} END AS updated_us,
+      CASE WHEN pos IS NULL THEN epoch_us(indexed_at) END AS indexed_us FROM albums s LEFT JOIN b USING ({ALBUM_KEY})
+    UNION ALL SELECT (SELECT max(id) FROM albums) + row_number() OVER (ORDER BY pos), {ALBUM_KEY}, '', 0, '', 0, '', 0, {_NOW}, {_NOW}, NULL FROM b WHERE {ALBUM_KEY} NOT IN (SELECT {ALBUM_KEY} FROM albums)""",
+)
+_add(
+    "replace_albums_whole", _replace_albums_whole, ("albums", "files", "crawl_outcomes"),
+    f"""WITH {_TWICE}, c AS (SELECT album_id, count(*) AS n FROM n WHERE album_id NOT IN (SELECT album_id FROM twice) GROUP BY 1),
+    k AS (SELECT a.{ALBUM_KEY}, a.title || ' +' AS title, a.id AS pos, c.n FROM albums a JOIN c ON c.album_id = a.{ALBUM_KEY}),
+    p AS (SELECT * FROM k UNION ALL SELECT * REPLACE ('new' || {ALBUM_KEY} AS {ALBUM_KEY}) FROM k WHERE pos % 10 = 0)
+    SELECT s.id, s.{ALBUM_KEY}, CASE WHEN pos IS NULL THEN s.title ELSE p.title END AS title, CASE WHEN pos IS NULL THEN file_count ELSE n END AS file_count, thumb,
+      CASE WHEN pos IS NULL THEN attempts ELSE 0 END AS attempts, CASE WHEN pos IS NULL THEN last_error ELSE '' END AS last_error, CASE WHEN pos IS NULL THEN dead ELSE 0 END AS dead,
+      epoch_us(discovered_at) AS discovered_us, CASE WHEN pos IS NULL THEN epoch_us(updated_at) ELSE {_NOW} END AS updated_us, CASE WHEN pos IS NULL THEN epoch_us(indexed_at) ELSE {_NOW} END AS indexed_us
+    FROM albums s LEFT JOIN p USING ({ALBUM_KEY})
+    UNION ALL SELECT (SELECT max(id) FROM albums) + row_number() OVER (ORDER BY pos), {ALBUM_KEY}, title, 0, '', 0, '', 0, {_NOW}, {_NOW}, {_NOW} FROM p WHERE {ALBUM_KEY} NOT IN (SELECT {ALBUM_KEY} FROM albums)""",
+)
+
 
 def _mark(albums: DataFrame, outcomes: DataFrame) -> DataFrame:
     failed = _last_outcomes(outcomes).filter("status <> 'ok'").select(ALBUM_KEY, "message", (F.col("status") == "dead").alias("dead"))

@@ -12,7 +12,7 @@ from .functions.storage import shared_dir
 from .operators import merge, search, state
 from .plans import language
 from .sources import pages
-from .sources.schema import ALBUM_KEY
+from .sources.schema import ALBUM_KEY, Catalog
 from .streaming import ingest
 
 AS_OF = "2026-01-01 00:00:00"
@@ -505,6 +505,21 @@ def _stream_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.windows(spark, out).select(F.unix_micros("start").alias("start_us"), "cards")
 
 
+def _stream_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All albums of a catalog after a stream of all discovery cards was merged into it, batch by batch."""
+    import uuid
+
+    source = f"{sf_dir}/discovery_cards.parquet"
+    root = f"{shared_dir(spark)}/catalog-{uuid.uuid4().hex}"
+    catalog = Catalog(spark, root)
+    catalog.create()
+    catalog.commit({"albums": _t(spark, sf_dir, "albums")})
+    stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(f"{source}*")
+    ingest.follow(_with_new(stream, "card_id"), ingest.commit_cards(catalog, AS_OF), f"{root}-state").awaitTermination()
+    return _shown(catalog.read("albums"))
+
+
+_QUERIES["stream_merge"], _SQL["stream_merge"] = _stream_merge, _SQL["upsert_discovered_whole"]
 _QUERIES["stream_arrivals"] = _stream_arrivals
 _SQL["stream_arrivals"] = f"""SELECT epoch_us(date_trunc('day', seen_at)) AS start_us, count(*) AS cards
 FROM (SELECT DISTINCT {ALBUM_KEY}, page_no, seen_at FROM discovery_cards) GROUP BY 1"""

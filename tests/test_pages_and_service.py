@@ -56,10 +56,18 @@ def test_read_pages(spark, tmp_path):
 def test_cache_and_etags():
     now = [0.0]
     c = Cache(2, 10, lambda: now[0])
-    c.put("a", b"1"), c.put("b", b"2"), c.get("a"), c.put("c", b"3")
-    assert (c.get("a"), c.get("b"), c.get("c")) == (b"1", None, b"3")
+    built = []
+    get = lambda key: c.body(key, lambda: built.append(key) or key.encode())
+    assert [get(k)[1] for k in "abac"] == [False, False, True, False]
+    assert [get("a")[1], get("c")[1], get("b")[1], "".join(built)] == [True, True, False, "abcb"]
     now[0] = 10.0
-    assert c.get("a") is None
+    assert get("b") == (b"b", False)
+    c.clear()
+    assert get("b") == (b"b", False) and get("b") == (b"b", True)
+    with pytest.raises(ZeroDivisionError):
+        c.body("x", lambda: 1 / 0)
+    assert c.body("x", lambda: b"1") == (b"1", False)
+    assert c.body("y", lambda: c.clear() or b"old") == (b"old", False) and not get("y")[1]
     tag = etag_of(b"x")
     assert etag_matches(f'"no", W/{tag}', tag) and not etag_matches('"no"', tag)
 
@@ -118,3 +126,27 @@ def test_command_line(spark, tmp_path, capsys):
 def test_empty_pages_table(spark):
     empty = spark.createDataFrame([], f"{ALBUM_KEY} string, html string")
     assert P.album_files(P.album_pages(empty)).count() == 0
+
+
+def test_script_objects():
+    read = P.parse_album(r"""window.albumFiles=[{ id : 7, "name":'it\'s 😀.jpg', nested: {id: 9, name: "no"}, list: ["id: 3", {id: 4}], size: -5, size: 12 }, {name: "no id"}, /* x */ {id: 08}] ; more = {id: 5}""")
+    assert [(f["file_id"], f["storage"], f["size"]) for f in read["files"]] == [(7, "it's 😀.jpg", 12), (8, "", 0)] and not read["parse_error"]
+    assert P.script_text(r"a\\b\"c\n\x41é\q") == 'a\\b"c\nAéq'
+
+
+def test_listing_without_closing_tags():
+    cards = P.parse_listing('<a href="/a/A1">One 2 FILES<a href="/a/B2">profiles 3 files</a><a href="/a/C3">x')
+    assert [(c[ALBUM_KEY], c["title"], c["file_count"]) for c in cards] == [("A1", "One", 2), ("B2", "profiles", 3), ("C3", "x", 0)]
+    assert P.parse_listing("") == [] and P.parse_album("") == {"title": "", "thumb": "", "files": [], "blob": False, "parse_error": False}
+
+
+def test_options_from_the_environment():
+    o = Options.from_environment("r", {"TESSERAE_CACHE_SECONDS": "5", "TESSERAE_MOST_PER_PAGE": "7", "OTHER": "x"})
+    assert (o.root, o.cache_seconds, o.most_per_page, o.longest_query) == ("r", 5.0, 7, 200)
+
+
+def test_albums_command_prints_lines(spark, service, capsys):
+    root = service.options.root
+    assert main(["--root", root, "albums", "--per", "500"], spark) == 1
+    assert main(["--root", root, "albums"], spark) == 0
+    assert not capsys.readouterr().out.splitlines()[-1].startswith("{")

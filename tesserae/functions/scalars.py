@@ -61,6 +61,16 @@ def format_date(ts: str | Column) -> Column:
     return F.coalesce(F.date_format(ts, "yyyy-MM-dd HH:mm"), F.lit(""))
 
 
+def format_time(ts: str | Column) -> Column:
+    """A time for reading, as `Jan 31, 2024, 1:02 PM`; '-' for none."""
+    return F.coalesce(F.date_format(ts, "MMM d, yyyy, h:mm a"), F.lit("-"))
+
+
+def album_url(key: str | Column, site: str) -> Column:
+    """The address of an album on a site."""
+    return F.concat(F.lit(site.rstrip("/") + "/a/"), key if isinstance(key, Column) else F.col(key))
+
+
 def first_letter(text: str | Column) -> Column:
     """The first character in upper case, '?' for none."""
     letter = F.upper(F.substring(F.trim(text), 1, 1))

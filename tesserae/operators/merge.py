@@ -8,11 +8,14 @@ batch; only their order means anything.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import file_extension
 from ..sources.schema import ALBUM_KEY, ALBUMS, FILES, conform
+from .ordered import placed
 
 MAX_ERROR = 500
 
@@ -21,22 +24,9 @@ def _time(as_of: str) -> Column:
     return F.lit(as_of).cast("timestamp")
 
 
-def numbered(rows: DataFrame, order: list[str], first: Column, buckets: int = 4096) -> DataFrame:
-    """``id`` = first, first + 1, ... in the order of ``order[0]`` (a timestamp or number), then the rest.
-
-    Rows are numbered inside slices of the first order column and offset by
-    the slices before, so the numbering is no single task; the slices are
-    hours for a timestamp, runs of 1024 for a number.
-    """
-    lead = F.col(order[0])
-    kind = dict(rows.dtypes)[order[0]]
-    slice_ = F.floor(F.unix_timestamp(lead) / 3600) if kind.startswith("timestamp") else F.floor(lead / 1024)
-    sliced = rows.withColumn("_slice", F.coalesce(slice_.cast("long"), F.lit(-(1 << 40))))
-    counts = sliced.groupBy("_slice").agg(F.count("*").alias("_n"))
-    before = counts.select("_slice", (F.sum("_n").over(Window.orderBy("_slice")) - F.col("_n")).alias("_before"))
-    inside = Window.partitionBy("_slice").orderBy(*order)
-    placed = sliced.withColumn("_inside", F.row_number().over(inside)).join(before, "_slice")
-    return placed.withColumn("id", (first + F.col("_before") + F.col("_inside") - 1).cast("long")).drop("_slice", "_before", "_inside")
+def numbered(rows: DataFrame, order: list[str], first: Column) -> DataFrame:
+    """``id`` = first, first + 1, ... in the order of the columns ``order``."""
+    return placed(rows, order, "_at").withColumn("id", (first + F.col("_at")).cast("long")).drop("_at")
 
 
 def next_id(state: DataFrame) -> Column:
@@ -104,15 +94,15 @@ def split_duplicates(new_files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return new_files.join(twice, "album_id", "left_anti"), twice
 
 
-def replace_files(files: DataFrame, new_files: DataFrame, replaced: DataFrame) -> DataFrame:
-    """Files of the replaced albums (column album_id) go, the new ones come; ids go on in batch order (column pos)."""
+def replace_files(files: DataFrame, new_files: DataFrame, replaced: DataFrame, order: Sequence[str] = ("pos",)) -> DataFrame:
+    """Files of the replaced albums (column album_id) go, the new ones come; ids go on in batch order."""
     kept = files.join(replaced.select("album_id").distinct(), "album_id", "left_anti")
     filled = new_files.withColumns({
         **{c: F.coalesce(c, F.lit("")) for c in ("search_name", "storage", "slug", "mime", "media") if c in new_files.columns},
         "size": F.coalesce("size", F.lit(0)),
         "extension": F.coalesce(F.nullif("extension", F.lit("")), file_extension("search_name")),
     })
-    fresh = numbered(filled.drop("id"), ["pos"], next_id(files))
+    fresh = numbered(filled.drop("id"), list(order), next_id(files))
     return conform(kept, FILES).unionByName(conform(fresh, FILES))
 
 

@@ -93,10 +93,13 @@ def test_discovery_fold(spark, albums):
 
 
 def test_breaker_and_classification(spark):
-    b = T.Breaker(10, 25, 2)
-    assert [b.limited() for _ in range(6)] == [0, 10, 0, 20, 0, 25]
-    b.success()
-    assert [b.limited(), b.limited()] == [0, 10]
+    kinds = ["error"] * 6 + ["dead", "error", "error", "error", "ok", "error"]
+    limited = [True] * 6 + [False, True, True, True, False, True]
+    rows = [(i, k, r, f"2024-01-{1 + i // 3:02d} 0{i % 3}:00:00") for i, (k, r) in enumerate(zip(kinds, limited, strict=True))]
+    outcomes = spark.createDataFrame(rows, "outcome_id long, status string, rate_limited boolean, at string").selectExpr("*", "CAST(at AS TIMESTAMP) AS fetched_at")
+    pauses = {r["outcome_id"]: r["pause_s"] for r in T.breaker_log(outcomes.repartition(3), 10, 25, 2).collect()}
+    assert pauses == {0: 0, 1: 10, 2: 0, 3: 20, 4: 0, 5: 25, 7: 0, 8: 10, 9: 0, 11: 0}
+    assert T.breaker_log(outcomes.limit(0)).count() == 0
     log = spark.createDataFrame([("a", 1, 503, False), ("a", 2, 200, True), ("b", 1, 404, False), ("b", 2, 200, True), ("c", 1, 429, False), ("c", 2, 503, False), ("d", 1, 200, False), ("d", 2, 403, False), ("e", 1, None, False)], f"{ALBUM_KEY} string, attempt_no int, http_status int, has_files boolean")
     assert {r[0]: r[1:] for r in T.classify_attempts(log).collect()} == {"a": ("ok", False), "b": ("dead", False), "c": ("error", True), "d": ("error", False), "e": ("error", False)}
 

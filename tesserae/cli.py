@@ -1,9 +1,10 @@
-"""Command line over the service: init, ingest, queue, search, albums, add, delete, stats."""
+"""Command line over the service: init, discover, ingest, sync, queue, search, albums, add, delete, stats."""
 
 from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 from datetime import UTC, datetime
 
@@ -26,6 +27,9 @@ def _parser() -> argparse.ArgumentParser:
     s.add_argument("path"), s.add_argument("--checkpoint", required=True), s.add_argument("--follow", action="store_true")
     s = sub.add_parser("ingest", help="merge landed album pages")
     s.add_argument("path"), s.add_argument("--checkpoint", required=True), s.add_argument("--follow", action="store_true")
+    s = sub.add_parser("sync", help="discover and ingest, once or at an interval")
+    s.add_argument("cards"), s.add_argument("pages"), s.add_argument("--checkpoint", required=True)
+    s.add_argument("--every-hours", type=float, default=24.0), s.add_argument("--cycles", type=int, default=1, help="0: for ever")
     s = sub.add_parser("queue")
     s.add_argument("--limit", type=int, default=200), s.add_argument("--stale-days", type=int)
     s = sub.add_parser("search")
@@ -42,17 +46,29 @@ def _parser() -> argparse.ArgumentParser:
 
 
 _CARDS = f"card_id long, page_no int, `{ALBUM_KEY}` string, title string, file_count long, thumb string, seen_at timestamp, arrived_at timestamp"
+_PAGES = f"`{ALBUM_KEY}` string, html string"
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     a = _parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("tesserae").getOrCreate()
-    service = Service(spark, Options(a.root))
+    service = Service(spark, Options.from_environment(a.root, os.environ))
     service.catalog.create()
     now = datetime.now(UTC).strftime("%Y-%m-%d %H:%M:%S")
     if a.command in ("discover", "ingest"):
-        schema, commit = (_CARDS, ingest.commit_cards(service.catalog)) if a.command == "discover" else (f"`{ALBUM_KEY}` string, html string", ingest.commit_pages(service.catalog))
+        schema, commit = (_CARDS, ingest.commit_cards(service.catalog)) if a.command == "discover" else (_PAGES, ingest.commit_pages(service.catalog))
         ingest.follow(ingest.landed(spark, a.path, schema), commit, a.checkpoint, once=not a.follow).awaitTermination()
+    elif a.command == "sync":
+        read = lambda path, schema: ingest.landed(spark, path, schema)
+        cycle = lambda: print(ingest.sync(service.catalog, read(a.cards, _CARDS), read(a.pages, _PAGES), a.checkpoint))
+        ingest.sync_every(cycle, a.every_hours, a.cycles or None)
+    elif a.command == "albums":
+        status, _, body = service.albums(a.q, a.page, a.per)
+        if status >= 400:
+            print(body.decode())
+            return 1
+        for r in json.loads(body)["results"]:
+            print(f"{r[ALBUM_KEY]:<16} {r['real_files']:>6} of {r['file_count'] or 0:<6} {'' if r['indexed'] else 'pending':<8} {r['title']}")
     elif a.command == "queue":
         for r in state.pending(service.catalog.read("albums"), now, a.limit, a.stale_days).collect():
             print(f"{r[ALBUM_KEY]:<16} {r['attempts']:>2}  {r['title']}")
@@ -66,7 +82,6 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     elif a.command != "init":
         status, _, body = {
             "search": lambda: service.search(a.q, a.media, a.ext, a.sort, a.page, a.per, a.cursor),
-            "albums": lambda: service.albums(a.q, a.page, a.per),
             "delete": lambda: service.delete(a.id),
         }[a.command]()
         print(body.decode())

@@ -18,14 +18,26 @@ BROADCAST_ROWS = 10_000
 FILE_COLUMNS = ["id", "album_id", "file_id", "search_name", "storage", "slug", "mime", "media", "extension", "size", "uploaded_at"]
 
 
+def with_folded(files: DataFrame) -> DataFrame:
+    """Files with what the search compares by: all their names folded in one text, and the name that a prefix is sought in.
+
+    A table stored by :func:`index.write` holds both, sorted by the second,
+    so that a prefix reads only the row groups that can hold it.
+    """
+    missing = {L.NAMES: L.names_of(L.SEARCHED), L.LEADING: fold("search_name")}
+    return files.withColumns({c: e for c, e in missing.items() if c not in files.columns})
+
+
 def file_hits(files: DataFrame, q: str = "", media: str | None = None, extension: str | None = None, columns: list[str] | None = None) -> DataFrame:
     """All files that a query and its filters admit, without order (pruned to ``columns``)."""
     mode = L.mode_of(q)
     wanted = [c for c in (L.media_filter(media), L.extension_filter(extension)) if c is not None]
     if mode == "fts":
+        files = with_folded(files)
         wanted.append(L.matches(q))
     elif mode == "prefix":
-        wanted.append(L.starts(q, "search_name"))
+        files = with_folded(files)
+        wanted.append(L.starts(q))
     hits = files.filter(reduce(lambda a, b: a & b, wanted)) if wanted else files
     return hits.select(*(columns or FILE_COLUMNS))
 
@@ -127,7 +139,7 @@ def listed(albums: DataFrame, files: DataFrame, limit: int = 20, offset: int = 0
 
 
 def title_prefix(albums: DataFrame, files: DataFrame, q: str, limit: int = 20, offset: int = 0) -> DataFrame:
-    return _page(albums.filter(L.starts(q, "title")).select(*_shown(albums)), [F.asc("title"), F.asc("id")], limit, offset, files)
+    return _page(albums.filter(F.startswith(fold("title"), F.lit(L.folded(q.strip())))).select(*_shown(albums)), [F.asc("title"), F.asc("id")], limit, offset, files)
 
 
 def title_hits(albums: DataFrame, q: str) -> DataFrame:
@@ -214,27 +226,3 @@ def combined(files: DataFrame, albums: DataFrame, q: str, per: int = 20) -> tupl
     """A page of files and the five best albums for the same query."""
     by_title = title_search(albums, files, q, 5) if L.mode_of(q) == "fts" else title_prefix(albums, files, q, 5)
     return file_page(files, albums, q, limit=per), by_title
-
-
-# --------------------------------------------------------------------------- trigram index
-
-
-def postings(files: DataFrame, columns: tuple[str, ...] = L.SEARCHED, buckets: int = 256) -> DataFrame:
-    """gram, bucket, id: which files hold a trigram in one of their names.
-
-    A gram that every name holds is spread over ``buckets`` by id, so no task
-    gets all of it; written partitioned by the gram's first character it is
-    the pruning index for substring search.
-    """
-    from ..functions.scalars import trigrams
-
-    each = files.select("id", F.explode(F.array_distinct(F.flatten(F.array(*[trigrams(F.coalesce(c, F.lit(""))) for c in columns])))).alias("gram"))
-    return each.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int")).select("gram", "bucket", "id")
-
-
-def candidates(index: DataFrame, q: str) -> DataFrame:
-    """Ids of files that hold all trigrams of a query (a superset of the answer for one-spelling queries)."""
-    wanted = sorted({g.lower() for g in L.query_grams(q) or []})
-    held = index.filter(F.col("gram").isin(*wanted)).groupBy("bucket", "id").agg(F.count_distinct("gram").alias("n"))
-    return held.filter(F.col("n") == len(wanted)).select("id")
-

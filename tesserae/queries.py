@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalars
-from .functions.storage import shared_dir
-from .operators import merge, search, state
+from .functions.storage import shared_path
+from .operators import index, merge, search, state
 from .plans import language
 from .sources import pages
 from .sources.schema import ALBUM_KEY, Catalog
@@ -129,13 +129,20 @@ _add(
 )
 
 
-def _pruned(files: DataFrame) -> DataFrame:
-    """Substring search through the trigram index: candidates first, then the exact test."""
-    found = search.candidates(search.postings(files), "harbor")
-    return search.file_hits(files.join(found, "id", "left_semi"), "harbor", columns=["id"])
+def _index(spark: SparkSession, sf_dir: str) -> str:
+    """An index of the whole files, of which a tenth is taken in by a later delta that replaces it."""
+    path = shared_path(spark, "index")
+    files = _t(spark, sf_dir, "files")
+    index.write(files, path)
+    changed = files.filter(F.col("id") % 10 == 0)
+    index.add(changed, path, 1, changed)
+    return path
 
 
-_add("files_trigram_index", _pruned, ("files",), f"SELECT id FROM files WHERE {_sql_any('harbor')}")
+_QUERIES["files_trigram_index"] = lambda spark, sf_dir: index.search(spark, _index(spark, sf_dir), "harbor", ["id"])
+_SQL["files_trigram_index"] = f"SELECT id FROM files WHERE {_sql_any('harbor')}"
+_QUERIES["files_prefix_index"] = lambda spark, sf_dir: index.search(spark, _index(spark, sf_dir), "Co", ["id"])
+_SQL["files_prefix_index"] = f"SELECT id FROM files WHERE starts_with({_sql_fold('search_name')}, 'co')"
 
 # --------------------------------------------------------------------------- albums
 
@@ -194,9 +201,27 @@ _add(
     "albums_bm25_page", lambda a, f: search.title_search(a, f, "harbor").select("id", "title", "real_files", F.round("score", 9).alias("score")), ("albums", "files"),
     f"SELECT a.id, a.title, (SELECT count(*) FROM files f WHERE f.album_id = a.{ALBUM_KEY}) AS real_files, x.score FROM ({_sql_bm25('harbor')}) x JOIN albums a USING (id) ORDER BY x.score, a.id LIMIT 20",
 )
+
+
+def _combined(q: str) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    def query(files: DataFrame, albums: DataFrame) -> DataFrame:
+        page, titles = search.combined(files, albums, q)
+        return page.select(F.lit("file").alias("kind"), "id", F.col("search_name").alias("name")).unionByName(titles.select(F.lit("album").alias("kind"), "id", F.col("title").alias("name")))
+
+    return query
+
+
+def _sql_combined(files: str, titles: str) -> str:
+    return f"SELECT 'file' AS kind, id, search_name AS name FROM ({files}) UNION ALL SELECT 'album', id, title FROM ({titles})"
+
+
+_add(
+    "combined_search", _combined("ve"), ("files", "albums"),
+    _sql_combined(_sql_page(f"starts_with({_sql_fold('search_name')}, 've')", "name"), f"SELECT id, title FROM albums WHERE starts_with({_sql_fold('title')}, 've') ORDER BY title, id LIMIT 5"),
+)
 _add(
-    "combined_search", lambda f, a: search.combined(f, a, "ve")[1].select("id", "title"), ("files", "albums"),
-    f"SELECT id, title FROM albums WHERE starts_with({_sql_fold('title')}, 've') ORDER BY title, id LIMIT 5",
+    "combined_search_fts", _combined("harbor"), ("files", "albums"),
+    _sql_combined(_sql_page(_sql_any("harbor"), "relevance"), f"SELECT a.id, a.title FROM ({_sql_bm25('harbor')}) x JOIN albums a USING (id) ORDER BY x.score, a.id LIMIT 5"),
 )
 
 # --------------------------------------------------------------------------- state
@@ -223,11 +248,57 @@ _add(
     "outcome_summary", state.outcome_summary, ("crawl_outcomes",),
     "SELECT count(*) FILTER (status = 'ok') AS ok, count(*) FILTER (status = 'dead') AS dead, count(*) FILTER (status = 'error') AS error, coalesce(sum(file_rows), 0)::BIGINT AS files, count(*) FILTER (rate_limited) AS rate_limited FROM crawl_outcomes",
 )
+_ANSWERED = "sum(CASE WHEN status IN ('ok', 'dead') THEN 1 ELSE 0 END) OVER (ORDER BY fetched_at, outcome_id)"
 _add(
     "breaker_log", state.breaker_log, ("crawl_outcomes",),
-    """WITH l AS (SELECT *, fetched_at::TIMESTAMP::DATE AS day, count(*) FILTER (status = 'ok') OVER (PARTITION BY fetched_at::TIMESTAMP::DATE ORDER BY fetched_at, outcome_id) AS run FROM crawl_outcomes),
-       k AS (SELECT outcome_id, row_number() OVER (PARTITION BY day, run ORDER BY fetched_at, outcome_id) AS strike FROM l WHERE rate_limited)
-       SELECT outcome_id, CASE WHEN strike % 2 = 0 THEN least(300.0, 10.0 * pow(2.0, strike // 2 - 1)) ELSE 0.0 END::DOUBLE AS pause_s FROM k""",
+    f"""WITH answered AS (SELECT outcome_id, fetched_at, rate_limited, {_ANSWERED} AS answers FROM crawl_outcomes),
+       failed AS (SELECT outcome_id, row_number() OVER (PARTITION BY answers ORDER BY fetched_at, outcome_id) AS failures FROM answered WHERE rate_limited)
+       SELECT outcome_id, (CASE WHEN failures % 2 = 0 THEN least(300, 10 * power(2, failures / 2 - 1)) ELSE 0 END)::DOUBLE AS pause_s FROM failed""",
+)
+
+
+def _waves(outcomes: DataFrame) -> DataFrame:
+    found = state.crawl_waves(outcomes)
+    rate, hours = state.throughput(F.col("processed"), F.col("span_us"), F.lit(1000))
+    return found.withColumns({"per_s": F.round(rate, 6), "eta_h": F.round(hours, 6)})
+
+
+def _sql_waves(limit: str) -> str:
+    return f"""WITH o AS (SELECT *, row_number() OVER (ORDER BY fetched_at, outcome_id) - 1 AS place FROM crawl_outcomes),
+       w AS (SELECT place // 200 AS wave, count(*) AS n, count(*) FILTER (status = 'ok') AS ok, count(*) FILTER (status = 'dead') AS dead, count(*) FILTER (status = 'error') AS error,
+                    coalesce(sum(file_rows) FILTER (status = 'ok'), 0) AS files, min(fetched_at) AS began, max(fetched_at) AS ended FROM o WHERE {limit} GROUP BY 1),
+       b AS (SELECT *, error = n AND sum(ok) OVER (ORDER BY wave) = 0 AS blocked FROM w),
+       k AS (SELECT * FROM b WHERE wave <= coalesce((SELECT min(wave) FROM b WHERE blocked), wave)),
+       t AS (SELECT coalesce(sum(n), 0)::BIGINT AS processed, coalesce(sum(ok), 0)::BIGINT AS ok, coalesce(sum(dead), 0)::BIGINT AS dead, coalesce(sum(error), 0)::BIGINT AS error,
+                    coalesce(sum(files), 0)::BIGINT AS files, epoch_us(max(ended)) - epoch_us(min(began)) AS span_us, bool_or(blocked) AS blocked FROM k)"""
+
+
+_add(
+    "crawl_waves", _waves, ("crawl_outcomes",),
+    _sql_waves("true") + """ SELECT processed, ok, dead, error, files, span_us, CASE WHEN blocked THEN 'all_errors' ELSE 'queue_empty' END AS stopped,
+       round(processed * 1e6 / span_us, 6) AS per_s, round(1000 / (processed * 1e6 / span_us) / 3600, 6) AS eta_h FROM t""",
+)
+_add(
+    "crawl_waves_blocked", lambda o: state.crawl_waves(o.withColumn("status", F.when(F.col("fetched_at") < "2030-01-01", F.lit("error")).otherwise(F.col("status"))), limit=500), ("crawl_outcomes",),
+    _sql_waves("place < 500").replace("FROM crawl_outcomes)", "FROM (SELECT * REPLACE ('error' AS status) FROM crawl_outcomes))") + " SELECT processed, ok, dead, error, files, span_us, CASE WHEN blocked THEN 'all_errors' ELSE 'limit' END AS stopped FROM t",
+)
+_add(
+    "crawl_waves_limit", lambda o: state.crawl_waves(o, limit=500), ("crawl_outcomes",),
+    _sql_waves("place < 500") + " SELECT processed, ok, dead, error, files, span_us, CASE WHEN blocked THEN 'all_errors' WHEN processed >= 500 THEN 'limit' ELSE 'queue_empty' END AS stopped FROM t",
+)
+
+
+def _attempts(outcomes: DataFrame) -> DataFrame:
+    """The outcomes as a log of attempts: what an answer of that kind looks like."""
+    status = F.when(F.col("status") == "ok", 200).when(F.col("status") == "dead", 404).when(F.col("rate_limited"), 429)
+    return outcomes.select(ALBUM_KEY, F.col("outcome_id").alias("attempt_no"), status.alias("http_status"), (F.col("status") == "ok").alias("has_files"))
+
+
+_add(
+    "classify_attempts", lambda o: state.classify_attempts(_attempts(o)), ("crawl_outcomes",),
+    f"""WITH d AS (SELECT {ALBUM_KEY}, min(outcome_id) FILTER (status IN ('ok', 'dead')) AS decided FROM crawl_outcomes GROUP BY 1)
+    SELECT {ALBUM_KEY}, CASE WHEN decided IS NULL THEN 'error' ELSE max(status) FILTER (outcome_id = decided) END AS status,
+      decided IS NULL AND bool_and(status = 'error' AND rate_limited) AS rate_limited FROM crawl_outcomes JOIN d USING ({ALBUM_KEY}) GROUP BY {ALBUM_KEY}, decided""",
 )
 
 # --------------------------------------------------------------------------- merges
@@ -242,33 +313,18 @@ def _shown(albums: DataFrame) -> DataFrame:
 _NOW = "epoch_us(TIMESTAMPTZ '2026-01-01 00:00:00+00')"
 _CARDS = f"""b AS (SELECT {ALBUM_KEY}, arg_max(coalesce(title, ''), (seen_at, card_id)) AS title, arg_max(coalesce(file_count, 0), (seen_at, card_id)) AS file_count,
   coalesce(arg_max(thumb, (seen_at, card_id)) FILTER (thumb <> ''), '') AS thumb, min((seen_at, card_id)) AS first_card FROM discovery_cards WHERE {ALBUM_KEY} IS NOT NULL GROUP BY 1)"""
-_add(
-    "upsert_discovered", lambda a, c: _shown(merge.upsert_discovered(a.filter("indexed_at IS NOT NULL"), c, AS_OF, ["seen_at", "card_id"])), ("albums", "discovery_cards"),
-    f"""WITH s AS (SELECT * FROM albums WHERE indexed_at IS NOT NULL), {_CARDS}
-    SELECT s.id, s.{ALBUM_KEY}, coalesce(b.title, s.title) AS title, coalesce(b.file_count, s.file_count) AS file_count,
-      CASE WHEN b.thumb <> '' THEN b.thumb ELSE s.thumb END AS thumb, attempts, last_error, dead,
-      epoch_us(discovered_at) AS discovered_us, epoch_us(updated_at) AS updated_us, epoch_us(indexed_at) AS indexed_us FROM s LEFT JOIN b USING ({ALBUM_KEY})
-    UNION ALL SELECT (SELECT max(id) FROM s) + row_number() OVER (ORDER BY first_card), {ALBUM_KEY}, title, file_count, thumb, 0, '', 0, {_NOW}, {_NOW}, NULL
-      FROM b WHERE {ALBUM_KEY} NOT IN (SELECT {ALBUM_KEY} FROM s)""",
-)
-_add(
-    "count_new", lambda a, c: merge.count_new(a.filter("indexed_at IS NOT NULL"), c), ("albums", "discovery_cards"),
-    f"SELECT count(*) AS new_albums FROM discovery_cards WHERE {ALBUM_KEY} NOT IN (SELECT {ALBUM_KEY} FROM albums WHERE indexed_at IS NOT NULL)",
-)
+_ALL_CARDS = f"cards AS (SELECT * FROM discovery_cards UNION ALL SELECT * REPLACE ('new' || {ALBUM_KEY} AS {ALBUM_KEY}) FROM discovery_cards WHERE card_id % 10 = 0)"
 
 
-def _set_pending(albums: DataFrame, cards: DataFrame) -> DataFrame:
-    ids = cards.filter("title = ''").select(ALBUM_KEY, F.col("card_id").alias("pos"))
-    return _shown(merge.set_pending(albums.filter("attempts = 0"), ids, AS_OF))
+def _with_new(batch: DataFrame, number: str) -> DataFrame:
+    """The whole batch and, as every key of the tables is known, a tenth of it once more under keys that are not."""
+    fresh = batch.filter(F.col(number) % 10 == 0).withColumn(ALBUM_KEY, F.concat(F.lit("new"), ALBUM_KEY))
+    return batch.unionByName(fresh)
 
 
 _add(
-    "set_pending", _set_pending, ("albums", "discovery_cards"),
-    f"""WITH s AS (SELECT * FROM albums WHERE attempts = 0), b AS (SELECT {ALBUM_KEY}, min(card_id) AS pos FROM discovery_cards WHERE title = '' GROUP BY 1)
-    SELECT s.id, s.{ALBUM_KEY}, title, file_count, thumb, CASE WHEN pos IS NULL THEN attempts ELSE 0 END AS attempts, CASE WHEN pos IS NULL THEN last_error ELSE '' END AS last_error,
-      CASE WHEN pos IS NULL THEN dead ELSE 0 END AS dead, epoch_us(discovered_at) AS discovered_us, CASE WHEN pos IS NULL THEN epoch_us(updated_at) ELSE {_NOW} END AS updated_us,
-      CASE WHEN pos IS NULL THEN epoch_us(indexed_at) END AS indexed_us FROM s LEFT JOIN b USING ({ALBUM_KEY})
-    UNION ALL SELECT (SELECT max(id) FROM s) + row_number() OVER (ORDER BY pos), {ALBUM_KEY}, '', 0, '', 0, '', 0, {_NOW}, {_NOW}, NULL FROM b WHERE {ALBUM_KEY} NOT IN (SELECT {ALBUM_KEY} FROM s)""",
+    "count_new", lambda a, c: merge.count_new(a, _with_new(c, "card_id")), ("albums", "discovery_cards"),
+    f"WITH {_ALL_CARDS} SELECT count(*) AS new_albums FROM cards WHERE {ALBUM_KEY} NOT IN (SELECT {ALBUM_KEY} FROM albums)",
 )
 
 _LAST = f"last AS (SELECT {ALBUM_KEY}, arg_max(status, (fetched_at, outcome_id)) AS status, arg_max(message, (fetched_at, outcome_id)) AS message FROM crawl_outcomes GROUP BY 1)"
@@ -316,43 +372,17 @@ def _replacements(albums: DataFrame, files: DataFrame, outcomes: DataFrame) -> t
     return parsed, counts
 
 
-def _replace_albums(albums: DataFrame, files: DataFrame, outcomes: DataFrame) -> DataFrame:
-    parsed, counts = _replacements(albums, files, outcomes)
-    return _shown(merge.replace_albums(albums.filter("attempts = 0"), parsed, counts, AS_OF))
-
-
-_add(
-    "replace_albums", _replace_albums, ("albums", "files", "crawl_outcomes"),
-    f"""WITH {_TWICE}, c AS (SELECT album_id, count(*) AS n FROM n WHERE album_id NOT IN (SELECT album_id FROM twice) GROUP BY 1),
-    p AS (SELECT a.{ALBUM_KEY}, a.title || ' +' AS title, a.id AS pos, c.n FROM albums a JOIN c ON c.album_id = a.{ALBUM_KEY}), s AS (SELECT * FROM albums WHERE attempts = 0)
-    SELECT s.id, s.{ALBUM_KEY}, CASE WHEN pos IS NULL THEN s.title ELSE p.title END AS title, CASE WHEN pos IS NULL THEN file_count ELSE n END AS file_count, thumb,
-      CASE WHEN pos IS NULL THEN attempts ELSE 0 END AS attempts, CASE WHEN pos IS NULL THEN last_error ELSE '' END AS last_error, CASE WHEN pos IS NULL THEN dead ELSE 0 END AS dead,
-      epoch_us(discovered_at) AS discovered_us, CASE WHEN pos IS NULL THEN epoch_us(updated_at) ELSE {_NOW} END AS updated_us, CASE WHEN pos IS NULL THEN epoch_us(indexed_at) ELSE {_NOW} END AS indexed_us
-    FROM s LEFT JOIN p USING ({ALBUM_KEY})
-    UNION ALL SELECT (SELECT max(id) FROM s) + row_number() OVER (ORDER BY pos), {ALBUM_KEY}, title, 0, '', 0, '', 0, {_NOW}, {_NOW}, {_NOW} FROM p WHERE {ALBUM_KEY} NOT IN (SELECT {ALBUM_KEY} FROM s)""",
-)
-
-# The same three merges over the whole albums and the whole batch. Every key of the tables is known there, so a tenth of
-# the batch comes once more under keys that are not.
-
-
-def _with_new(batch: DataFrame, number: str) -> DataFrame:
-    fresh = batch.filter(F.col(number) % 10 == 0).withColumn(ALBUM_KEY, F.concat(F.lit("new"), ALBUM_KEY))
-    return batch.unionByName(fresh)
-
-
-def _set_pending_whole(albums: DataFrame, cards: DataFrame) -> DataFrame:
+def _set_pending(albums: DataFrame, cards: DataFrame) -> DataFrame:
     return _shown(merge.set_pending(albums, _with_new(cards, "card_id").select(ALBUM_KEY, F.col("card_id").alias("pos")), AS_OF))
 
 
-def _replace_albums_whole(albums: DataFrame, files: DataFrame, outcomes: DataFrame) -> DataFrame:
+def _replace_albums(albums: DataFrame, files: DataFrame, outcomes: DataFrame) -> DataFrame:
     parsed, counts = _replacements(albums, files, outcomes)
     return _shown(merge.replace_albums(albums, _with_new(parsed, "pos"), counts, AS_OF))
 
 
-_ALL_CARDS = f"cards AS (SELECT * FROM discovery_cards UNION ALL SELECT * REPLACE ('new' || {ALBUM_KEY} AS {ALBUM_KEY}) FROM discovery_cards WHERE card_id % 10 = 0)"
 _add(
-    "upsert_discovered_whole", lambda a, c: _shown(merge.upsert_discovered(a, _with_new(c, "card_id"), AS_OF, ["seen_at", "card_id"])), ("albums", "discovery_cards"),
+    "upsert_discovered", lambda a, c: _shown(merge.upsert_discovered(a, _with_new(c, "card_id"), AS_OF, ["seen_at", "card_id"])), ("albums", "discovery_cards"),
     f"""WITH {_ALL_CARDS}, {_CARDS.replace("discovery_cards", "cards")}
     SELECT s.id, s.{ALBUM_KEY}, coalesce(b.title, s.title) AS title, coalesce(b.file_count, s.file_count) AS file_count,
       CASE WHEN b.thumb <> '' THEN b.thumb ELSE s.thumb END AS thumb, attempts, last_error, dead,
@@ -361,7 +391,7 @@ _add(
       FROM b WHERE {ALBUM_KEY} NOT IN (SELECT {ALBUM_KEY} FROM albums)""",
 )
 _add(
-    "set_pending_whole", _set_pending_whole, ("albums", "discovery_cards"),
+    "set_pending", _set_pending, ("albums", "discovery_cards"),
     f"""WITH {_ALL_CARDS}, b AS (SELECT {ALBUM_KEY}, min(card_id) AS pos FROM cards GROUP BY 1)
     SELECT s.id, s.{ALBUM_KEY}, title, file_count, thumb, CASE WHEN pos IS NULL THEN attempts ELSE 0 END AS attempts, CASE WHEN pos IS NULL THEN last_error ELSE '' END AS last_error,
       CASE WHEN pos IS NULL THEN dead ELSE 0 END AS dead, epoch_us(discovered_at) AS discovered_us, CASE WHEN pos IS NULL THEN epoch_us(updated_at) ELSE {_NOW} END AS updated_us,
@@ -369,7 +399,7 @@ _add(
     UNION ALL SELECT (SELECT max(id) FROM albums) + row_number() OVER (ORDER BY pos), {ALBUM_KEY}, '', 0, '', 0, '', 0, {_NOW}, {_NOW}, NULL FROM b WHERE {ALBUM_KEY} NOT IN (SELECT {ALBUM_KEY} FROM albums)""",
 )
 _add(
-    "replace_albums_whole", _replace_albums_whole, ("albums", "files", "crawl_outcomes"),
+    "replace_albums", _replace_albums, ("albums", "files", "crawl_outcomes"),
     f"""WITH {_TWICE}, c AS (SELECT album_id, count(*) AS n FROM n WHERE album_id NOT IN (SELECT album_id FROM twice) GROUP BY 1),
     k AS (SELECT a.{ALBUM_KEY}, a.title || ' +' AS title, a.id AS pos, c.n FROM albums a JOIN c ON c.album_id = a.{ALBUM_KEY}),
     p AS (SELECT * FROM k UNION ALL SELECT * REPLACE ('new' || {ALBUM_KEY} AS {ALBUM_KEY}) FROM k WHERE pos % 10 = 0)
@@ -419,29 +449,47 @@ _add(
 
 
 def _paged(cards: DataFrame) -> DataFrame:
-    return cards.withColumn("pos", F.col("card_id"))
-
-
-def _known(albums: DataFrame) -> DataFrame:
-    return albums.filter("indexed_at IS NOT NULL")
-
-
-_SHOWN = f"s AS (SELECT DISTINCT page_no, {ALBUM_KEY} FROM discovery_cards), f AS (SELECT min(page_no) AS page_no, {ALBUM_KEY} FROM s WHERE {ALBUM_KEY} NOT IN (SELECT {ALBUM_KEY} FROM albums WHERE indexed_at IS NOT NULL) GROUP BY 2)"
-_PAGES = f"{_SHOWN}, p AS (SELECT s.page_no, count(*) AS cards, count(f.{ALBUM_KEY}) AS new FROM s LEFT JOIN f USING (page_no, {ALBUM_KEY}) GROUP BY 1)"
-_add("discover_pages", lambda c, a: state.page_news(_paged(c), _known(a)).select(F.col("page_no").cast("long").alias("page_no"), "cards", "new"), ("discovery_cards", "albums"), f"WITH {_PAGES} SELECT page_no::BIGINT AS page_no, cards, new FROM p")
-
-
-def _fold(cards: DataFrame, albums: DataFrame) -> DataFrame:
-    run = cards.select("page_no").distinct().withColumn("failed", F.lit(False))
-    return state.fold_pages(run, _paged(cards), _known(albums), start=1, stop_when_known=True).withColumn("last_page", F.col("last_page").cast("long"))
-
-
-_add(
-    "discover_fold", _fold, ("discovery_cards", "albums"),
-    f"""WITH {_PAGES}, e AS (SELECT min(page_no) AS stop FROM p WHERE new = 0), k AS (SELECT p.* FROM p, e WHERE stop IS NULL OR page_no <= stop)
-    SELECT count(*) AS pages, coalesce(sum(cards), 0)::BIGINT AS cards, coalesce(sum(new), 0)::BIGINT AS new_albums, 0::BIGINT AS errors,
-      CASE WHEN (SELECT stop FROM e) IS NULL THEN 'pages_exhausted' ELSE 'all_known' END AS stopped, max(page_no)::BIGINT AS last_page FROM k""",
-)
+    """All cards, a tenth of them under keys that no table knows, in the order of their numbers on each page."""
+    return _with_new(cards, "card_id").withColumn("pos", F.col("card_id"))
+
+
+_SHOWN_ON = f"s AS (SELECT DISTINCT page_no, {ALBUM_KEY} FROM cards), f AS (SELECT min(page_no) AS page_no, {ALBUM_KEY} FROM s WHERE {ALBUM_KEY} NOT IN (SELECT {ALBUM_KEY} FROM albums) GROUP BY 2)"
+_PAGES = f"{_ALL_CARDS}, {_SHOWN_ON}, p AS (SELECT s.page_no, count(*) AS cards, count(f.{ALBUM_KEY}) AS new FROM s LEFT JOIN f USING (page_no, {ALBUM_KEY}) GROUP BY 1)"
+_add("discover_pages", lambda c, a: state.page_news(_paged(c), a).select(F.col("page_no").cast("long").alias("page_no"), "cards", "new"), ("discovery_cards", "albums"), f"WITH {_PAGES} SELECT page_no::BIGINT AS page_no, cards, new FROM p")
+
+
+def _discover(name: str, failed: str, empty: str, max_pages: int | None = None, stop_when_known: bool = False) -> None:
+    """An ordered run over the pages of the cards: ``failed`` and ``empty`` are conditions on page_no, the same text in both languages."""
+
+    def query(cards: DataFrame, albums: DataFrame) -> DataFrame:
+        run = cards.select("page_no").distinct().withColumn("failed", F.expr(failed))
+        folded = state.fold_pages(run, _paged(cards).filter(~F.expr(empty)), albums, 1, max_pages, stop_when_known)
+        return folded.withColumn("last_page", F.col("last_page").cast("long"))
+
+    ends = ["WHEN failed AND failures >= 5 THEN 'repeated_errors'", "WHEN NOT failed AND cards = 0 THEN 'empty_page'"]
+    if stop_when_known:
+        ends.append("WHEN NOT failed AND new = 0 THEN 'all_known'")
+    cut = "true" if max_pages is None else f"page_no < 1 + {max_pages}"
+    at_end = "'pages_exhausted'" if max_pages is None else "'max_pages'"
+    _add(
+        name, query, ("discovery_cards", "albums"),
+        f"""WITH {_ALL_CARDS.replace("card_id % 10 = 0", f"card_id % 10 = 0 AND NOT ({empty})").replace("FROM discovery_cards UNION", f"FROM discovery_cards WHERE NOT ({empty}) UNION")}, {_SHOWN_ON},
+        n AS (SELECT DISTINCT page_no, ({failed}) AS failed FROM discovery_cards WHERE {cut}),
+        c AS (SELECT s.page_no, count(*) AS cards, count(f.{ALBUM_KEY}) AS new FROM s LEFT JOIN f USING (page_no, {ALBUM_KEY}) GROUP BY 1),
+        p AS (SELECT page_no, failed, coalesce(cards, 0) AS cards, coalesce(new, 0) AS new, sum(failed::INT) OVER (ORDER BY page_no) AS failures FROM n LEFT JOIN c USING (page_no)),
+        e AS (SELECT page_no, CASE {' '.join(ends)} END AS reason FROM p), stop AS (SELECT min(page_no) AS at_page FROM e WHERE reason IS NOT NULL),
+        k AS (SELECT p.* FROM p, stop WHERE at_page IS NULL OR page_no <= at_page)
+        SELECT count(*) FILTER (NOT failed) AS pages, coalesce(sum(cards) FILTER (NOT failed), 0)::BIGINT AS cards, coalesce(sum(new) FILTER (NOT failed), 0)::BIGINT AS new_albums,
+          count(*) FILTER (failed) AS errors, coalesce((SELECT reason FROM e, stop WHERE page_no = at_page), {at_end}) AS stopped, max(page_no)::BIGINT AS last_page FROM k""",
+    )
+
+
+# D1 to D6: a run over all pages, failed pages that are passed over, five of them, an empty page, a page limit, and a page without news
+_discover("discover_fold", "page_no % 100 = 3", "page_no < 0")
+_discover("discover_repeated_errors", "page_no % 3 = 0", "page_no < 0")
+_discover("discover_empty_page", "page_no = 2", "page_no = 7")
+_discover("discover_max_pages", "page_no = 2", "page_no < 0", max_pages=10)
+_discover("discover_stop_known", "page_no = 1", "page_no < 0", stop_when_known=True)
 
 # --------------------------------------------------------------------------- scalars
 
@@ -461,6 +509,12 @@ _add(
     " ELSE (CASE WHEN size / 1073741824.0 >= 10 THEN round(size / 1073741824.0::DOUBLE, 0)::BIGINT::VARCHAR ELSE round(size / 1073741824.0::DOUBLE, 1)::DECIMAL(12,1)::VARCHAR END) || ' GB' END AS shown FROM files",
 )
 _add("fmt_date", lambda f: f.select("id", scalars.format_date("uploaded_at").alias("shown")), ("files",), "SELECT id, coalesce(strftime(uploaded_at, '%Y-%m-%d %H:%M'), '') AS shown FROM files")
+_add("fmt_time", lambda f: f.select("id", scalars.format_time("uploaded_at").alias("shown")), ("files",), "SELECT id, coalesce(strftime(uploaded_at, '%b %-d, %Y, %-I:%M %p'), '-') AS shown FROM files")
+_add("album_url", lambda a: a.select("id", scalars.album_url(ALBUM_KEY, "https://x.invalid/").alias("url")), ("albums",), f"SELECT id, 'https://x.invalid/a/' || {ALBUM_KEY} AS url FROM albums")
+_add(
+    "retry_after", lambda o: o.withColumns({"status_no": F.when(F.col("rate_limited"), 429).otherwise(200), "header": F.concat(F.lit(" "), F.when(F.col("outcome_id") % 7 == 0, "soon").otherwise(F.col("file_rows").cast("string")))}).select("outcome_id", scalars.retry_after("status_no", "header").alias("wait_s")), ("crawl_outcomes",),
+    "SELECT outcome_id, CASE WHEN rate_limited AND outcome_id % 7 <> 0 THEN file_rows::DOUBLE END AS wait_s FROM crawl_outcomes",
+)
 _add("search_name_coalesce", lambda f: f.select("id", scalars.first_filled("slug", "storage", "search_name").alias("name")), ("files",), "SELECT id, coalesce(nullif(trim(slug), ''), nullif(trim(storage), ''), nullif(trim(search_name), ''), '') AS name FROM files")
 _add("first_letter", lambda a: a.select("id", scalars.first_letter("title").alias("letter")), ("albums",), "SELECT id, CASE WHEN coalesce(trim(title), '') = '' THEN '?' ELSE upper(substr(trim(title), 1, 1)) END AS letter FROM albums")
 _add("trigrams", lambda a: a.select("id", F.array_join(scalars.trigrams("title"), "|").alias("grams")), ("albums",), "SELECT id, CASE WHEN length(lower(title)) < 3 THEN '' ELSE array_to_string(list_transform(range(1, length(lower(title)) - 1), lambda i: substr(lower(title), i, 3)), '|') END AS grams FROM albums")
@@ -479,38 +533,53 @@ _add(
 )
 
 
+def _safe(column: str) -> F.Column:
+    return F.replace(F.replace(F.replace(F.coalesce(column, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;")), F.lit("<"), F.lit("&lt;"))
+
+
+def _titles(albums: DataFrame) -> DataFrame:
+    """Titles of pages: those of even albums from the property, those of odd ones from the title with tags and the site's name."""
+    even = F.concat(F.lit('<head><meta content="'), _safe("title"), F.lit('" property="og:title"><meta property="og:image" content="'), _safe("thumb"), F.lit('"></head>'))
+    odd = F.concat(F.lit("<title> <b>"), _safe("title"), F.lit("</b> | site</title>"))
+    page = albums.select("id", F.when(F.col("id") % 2 == 0, even).otherwise(odd).alias("html"))
+    return pages.album_pages(page, "id").select(F.col("id").cast("long").alias("id"), "title", "thumb", "blob", "parse_error")
+
+
 def _listing(cards: DataFrame) -> DataFrame:
-    safe = lambda c: F.replace(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;")), F.lit("<"), F.lit("&lt;"))
+    safe = _safe
     card = F.concat(F.lit('<a class="c" href="https://x.invalid/a/'), F.col(ALBUM_KEY), F.lit('"><img class="thumb-img" src="'), safe("thumb"), F.lit('" alt="'), safe("title"), F.lit('"> '), F.coalesce("file_count", F.lit(0)).cast("string"), F.lit(" files</a>"))
     page = cards.select("page_no", "card_id", card.alias("card")).groupBy("page_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("card_id", "card"))), lambda x: x["card"]), "\n").alias("html"))
-    return pages.listing_cards(page).select("page_no", ALBUM_KEY, "thumb", "file_count")
+    return pages.listing_cards(page).select("page_no", ALBUM_KEY, "url", "title", "thumb", "file_count")
 
 
 _add(
     "parse_listing", _listing, ("discovery_cards",),
-    f"SELECT page_no::BIGINT AS page_no, {ALBUM_KEY}, arg_min(thumb, card_id) AS thumb, arg_min(coalesce(file_count, 0), card_id) AS file_count FROM discovery_cards GROUP BY 1, 2",
+    f"SELECT page_no::BIGINT AS page_no, {ALBUM_KEY}, 'https://x.invalid/a/' || {ALBUM_KEY} AS url, {_STRIP.format('arg_min(title, card_id)')} AS title, arg_min(thumb, card_id) AS thumb, arg_min(coalesce(file_count, 0), card_id) AS file_count FROM discovery_cards GROUP BY 1, 2",
+)
+
+
+_add(
+    "page_title", _titles, ("albums",),
+    f"""SELECT id, CASE WHEN id % 2 = 0 THEN {_STRIP.format('title')} ELSE {_STRIP.format("split_part(title, '|', 1)")} END AS title, CASE WHEN id % 2 = 0 THEN thumb ELSE '' END AS thumb,
+    false AS blob, false AS parse_error FROM albums""",
 )
 
 
 def _stream_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily arrivals of discovery cards from a stream with a watermark, the days that are still open included."""
-    import uuid
-
     source = f"{sf_dir}/discovery_cards.parquet"
     schema = spark.read.parquet(source).schema
-    out = f"{shared_dir(spark)}/arrivals-{uuid.uuid4().hex}"
+    out = shared_path(spark, "arrivals")
     stream = ingest.arrivals(spark.readStream.schema(schema).parquet(f"{source}*"), late="30 days")
-    query = stream.writeStream.outputMode("update").foreachBatch(ingest.upsert_windows(out)).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
+    query = stream.writeStream.outputMode("update").foreachBatch(ingest.upsert_windows(out)).option("checkpointLocation", shared_path(spark, "arrivals-state")).trigger(availableNow=True).start()
     query.awaitTermination()
     return ingest.windows(spark, out).select(F.unix_micros("start").alias("start_us"), "cards")
 
 
 def _stream_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All albums of a catalog after a stream of all discovery cards was merged into it, batch by batch."""
-    import uuid
-
     source = f"{sf_dir}/discovery_cards.parquet"
-    root = f"{shared_dir(spark)}/catalog-{uuid.uuid4().hex}"
+    root = shared_path(spark, "catalog")
     catalog = Catalog(spark, root)
     catalog.create()
     catalog.commit({"albums": _t(spark, sf_dir, "albums")})
@@ -519,7 +588,7 @@ def _stream_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(catalog.read("albums"))
 
 
-_QUERIES["stream_merge"], _SQL["stream_merge"] = _stream_merge, _SQL["upsert_discovered_whole"]
+_QUERIES["stream_merge"], _SQL["stream_merge"] = _stream_merge, _SQL["upsert_discovered"]
 _QUERIES["stream_arrivals"] = _stream_arrivals
 _SQL["stream_arrivals"] = f"""SELECT epoch_us(date_trunc('day', seen_at)) AS start_us, count(*) AS cards
 FROM (SELECT DISTINCT {ALBUM_KEY}, page_no, seen_at FROM discovery_cards) GROUP BY 1"""

@@ -1,8 +1,10 @@
 import math
+import re
 from datetime import datetime
 
 import pytest
 
+from tesserae.operators import index
 from tesserae.operators import search as S
 from tesserae.sources.schema import ALBUM_KEY, ALBUMS, FILES, conform
 
@@ -95,7 +97,24 @@ def test_albums_and_random(tables):
     assert S.random_album(a.filter("id = 3"), f).isEmpty()
 
 
-def test_trigram_index_only_prunes(tables):
+def test_stored_index(spark, tables, tmp_path):
     f, _ = tables
-    found = {r["id"] for r in S.candidates(S.postings(f), "alpha").collect()}
-    assert found == {2, 3, 4}
+    path = str(tmp_path / "index")
+    index.write(f, path)
+    found = {r["id"] for r in index.candidates(spark, path, "alpha").collect()}
+    exact = lambda q: {r["id"] for r in S.file_hits(f, q).collect()}
+    through = lambda q: {r["id"] for r in index.search(spark, path, q).collect()}
+    assert exact("alpha") <= found and all(through(q) == exact(q) for q in ("alpha", "al", '"alpha first"', "zzz", ""))
+    first = f.orderBy("id").limit(1)
+    index.add(first.limit(0), path, 1, first)  # the first file is no longer what it was
+    gone = first.first()["id"]
+    assert {r["id"] for r in index.candidates(spark, path, "alpha").collect()} == found - {gone}
+    index.add(first, path, 2)
+    index.add(first, path, 2)  # run again
+    assert {r["id"] for r in index.candidates(spark, path, "alpha").collect()} == found
+
+
+def test_substring_search_stays_in_generated_code(tables):
+    f, _ = tables
+    plan = S.file_hits(f, '"silver mirror" alpha')._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"\*\(\d+\) Filter", plan) and "lambda" not in plan

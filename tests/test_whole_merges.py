@@ -10,7 +10,7 @@ DATA = Path("/root/testdata/sf0.01")
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test tables")
 
 
-@pytest.mark.parametrize("name", ["upsert_discovered_whole", "set_pending_whole", "replace_albums_whole"])
+@pytest.mark.parametrize("name", ["upsert_discovered", "set_pending", "replace_albums"])
 def test_whole(spark, name):
     got = Q.queries()[name](spark, str(DATA))
     known = {r[0] for r in spark.read.parquet(f"{DATA}/albums.parquet").select("bunkr_id").collect()}

@@ -8,14 +8,19 @@ corpus:
    Values outside ASCII count once, however many rows hold them and whatever
    their numbers are: a wrong reading that is held by many rows is no more
    probable for it;
-2. in a value, each pair gets its mutual information under those counts,
-   discounted where the pair has little support.  Pairs that could be the
-   bytes of one multi-byte character under some wrong reading are held out of
-   the joint count, so garbling that is frequent in a corpus cannot vouch for
-   itself.  Maximum-scoring segments over the "improbable" scores are the runs;
-3. only inside those runs inverse mappings (encode as it was read, decode as
-   it was written) are tried, up to three deep.  A mapping is accepted when
-   the text it gives is sufficiently more probable than the run itself.
+2. in a word, each pair gets its mutual information under those counts.  A
+   pair is held out of the joint count where the corpus holds what it would be
+   in another reading more often than itself (two characters, one, or the
+   UTF-8 character that it is part of), so garbling that is frequent in a
+   corpus cannot vouch for itself.  What the pairs lack in mutual information
+   is their score, and the maximum-scoring segments are the runs;
+3. only inside those runs, widened to their words, inverse mappings (encode as
+   it was read, decode as it was written) are tried, up to three deep.  A
+   mapping is accepted when the text it gives is sufficiently more probable
+   than the run itself.
+
+A pair of small letters is not held out for one of capitals: text in capitals
+whose wrong reading is in small letters has to lack mutual information itself.
 
 Defined results: null and '' are never garbled and are given back as they
 are; text without any character above U+007F is never garbled; U+FFFD is
@@ -26,6 +31,7 @@ value can be repaired around it, in which case the marks stay).
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import reduce
@@ -61,9 +67,7 @@ _MULTI = {"utf-8", "gbk", "cp932", "euc_jp", "cp949", "big5"}
 #: Bits by which a restored run must be more probable than the run as it stands, by the kind of the writing codec.
 MARGIN_UTF8, MARGIN_MULTI, MARGIN_SINGLE = 0.0, 10.0, 4.0
 #: A pair is improbable below so many bits of (support-discounted) mutual information.
-IMPROBABLE_BITS = 5.0
-#: Share of all pairs of the corpus at which a pair counts as half supported.
-SUPPORT_SHARE = 1e-5
+IMPROBABLE_BITS = 1.0
 #: Bits that a whole multi-byte sequence is worth as evidence of UTF-8, by its length: bytes in this form are no accident.
 SEQUENCE_BITS = {2: 3.0, 3: 24.0, 4: 24.0}
 #: The same for dashes, quotes and signs (U+2000 to U+22FF), which corpora hold too rarely to speak for themselves.
@@ -153,9 +157,11 @@ class PairCounts:
     def __init__(self, counts: np.ndarray, log_width: int) -> None:
         self.log_width, self.width = log_width, 1 << log_width
         self.rows = counts.reshape(2, self.width)
+        #: What a cell holds of pairs that merely share it: nothing, until the sketch is half full.
+        self.noise = [float(x) for x in np.median(self.rows, axis=1)]
         self.cache: dict[tuple[str, str], tuple[float, float]] = {}
+        self.words: dict[str, bool] = {}
         self.total = max(1.0, self._get(_TOTAL, _TOTAL))
-        self.support = 0.0
 
     @classmethod
     def of_values(cls, values: Iterable[str | None], log_width: int = LOG_WIDTH) -> PairCounts:
@@ -172,7 +178,7 @@ class PairCounts:
         key = ((a << 21) | b) & 0xFFFFFFFFFFFFFFFF
         shift = 64 - self.log_width
         one, two = (((key * m) & 0xFFFFFFFFFFFFFFFF) >> shift for m in _MULTIPLIERS)
-        return float(min(self.rows[0, one], self.rows[1, two]))
+        return max(0.0, float(min(self.rows[0, one] - self.noise[0], self.rows[1, two] - self.noise[1])))
 
     def pair(self, a: str, b: str) -> tuple[float, float]:
         """(log2 P(b | a), support-discounted mutual information) of two adjacent characters."""
@@ -184,15 +190,49 @@ class PairCounts:
         one, two = self._get(x, _UNIGRAM) if x != 32 else self.total / 5, self._get(y, _UNIGRAM) if y != 32 else self.total / 5
         p_b = (two + 0.5) / (self.total + 0.5 * 0x110000 / 64)
         log_p = math.log2((both + 2 * p_b) / (one + 2))
-        held = _multi_byte_shaped(a, b)
-        joint = 0.0 if held else both
-        info = math.log2((joint + 0.5) * self.total / ((one + 1) * (two + 1))) if joint else 0.0
-        info = info * joint / (joint + SUPPORT_SHARE * self.total + 2)
+        info = 0.0
+        if both and not any(self._held_by(form, both) for form in _pair_forms(a, b)):
+            info = math.log2(both * self.total / ((one + 1) * (two + 1))) * both / (both + 1)
         if len(self.cache) > 200_000:
             self.cache.clear()
         self.cache[(a, b)] = got = (float(log_p), float(info))
         return got
 
+    def _held_by(self, form: str, both: float) -> bool:
+        """Whether the corpus holds a form (one character or two) more often than the pair that may be a wrong reading of it."""
+        s = symbols()
+        x = int(s[ord(form[0])])
+        return self._get(x, int(s[ord(form[1])]) if len(form) > 1 else _UNIGRAM) > both
+
+    def improbable(self, word: str) -> list[tuple[int, int]]:
+        """The improbable runs [start, end) of a word: maximum-scoring segments of what its pairs lack in mutual information.
+
+        Both characters of a pair that the corpus holds by chance, not at all,
+        or more often in another reading, lack ``IMPROBABLE_BITS``.
+        """
+        held = [False] * len(word)
+        for start, end, char in _utf8_spans(word):
+            n = self._get(int(symbols()[ord(char)]), _UNIGRAM)
+            for i in range(start, end - 1):
+                held[i] |= not word[i + 1].isalpha() or n >= self._get(int(symbols()[ord(word[i])]), int(symbols()[ord(word[i + 1])]))
+        scores = []
+        for i, (a, b) in enumerate(zip(word, word[1:], strict=False)):
+            if a == "�" or b == "�":
+                scores.append(2 * IMPROBABLE_BITS)
+            elif a < "\x80" and b < "\x80":
+                scores.append(-IMPROBABLE_BITS)
+            else:
+                scores.append(IMPROBABLE_BITS - (0.0 if held[i] else self.pair(a, b)[1]))
+        return [(start, end + 1) for start, end in segments(scores)]
+
+    def suspect(self, word: str) -> bool:
+        """Whether a word holds an improbable run; remembers a bounded number of words."""
+        if (known := self.words.get(word)) is None:
+            if len(self.words) >= 200_000:
+                self.words.clear()
+            self.words[word] = known = "�" in word or bool(self.improbable(word))
+        return known
+
     def known(self, text: str) -> float:
         """The share of a run's pairs outside ASCII that the corpus holds."""
         pairs = [(a, b) for a, b in zip(" " + text, text + " ", strict=True) if a > "\x7f" or b > "\x7f"]
@@ -236,10 +276,50 @@ def _encoders() -> dict[str, dict[str, int]]:
 _ENCODERS = _encoders()
 _LEADS = {c for t in _ENCODERS.values() for c, b in t.items() if 0xC2 <= b <= 0xF4 and ord(c) > 127}
 _TRAILS = {c for t in _ENCODERS.values() for c, b in t.items() if 0x80 <= b <= 0xBF and ord(c) > 127}
+#: For each single-byte reader and writer: character as read -> as written.
+_ONE_TO_ONE = [
+    {c: out for c, b in _ENCODERS[read].items() if b >= 0x80 and len(out := bytes([b]).decode(written, "ignore")) == 1}
+    for read, written in READ_AS_WRITTEN_IN
+    if read not in _MULTI and written not in _MULTI
+]
+
+
+def _pair_forms(a: str, b: str) -> Iterator[str]:
+    """What two adjacent characters may have been: two characters, or one, under each inverse mapping of a pair by itself."""
+    for table in _ONE_TO_ONE:
+        one, two = (c if c < "\x80" else table.get(c) for c in (a, b))
+        if one and two and (one, two) != (a, b) and not (a.islower() and b.islower() and one.isupper() and two.isupper()):
+            yield one + two
+    for read, written in READ_AS_WRITTEN_IN:
+        if read in _MULTI and a > "\x7f" and b > "\x7f":
+            raw = _encode(a + b, read)
+        elif read not in _MULTI and written in _MULTI - {"utf-8"}:
+            raw = _encode(a + b, read)
+        else:
+            continue
+        if raw is None:
+            continue
+        if written != "utf-8":
+            try:
+                yield raw.decode(written)[:2]
+            except UnicodeDecodeError:
+                pass
+            continue
+        for at in (0, 1):
+            form = raw[at:].decode("utf-8", "ignore")
+            if form and ord(form[0]) > 0x7F and len(form[:2].encode()) + at >= 3:
+                yield form[:2]
 
 
-def _multi_byte_shaped(a: str, b: str) -> bool:
-    return a in _LEADS and b in _TRAILS
+def _utf8_spans(word: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, character) wherever some characters are together one of UTF-8 under a single-byte reader, put to lower case afterwards or not."""
+    for variant in dict.fromkeys((word, _upper(word))):
+        for table in _ENCODERS.values():
+            raw = [table.get(c, 0) if c > "\x7f" else 0 for c in variant]
+            for i, lead in enumerate(raw):
+                n = 2 if 0xC2 <= lead <= 0xDF else 3 if 0xE0 <= lead <= 0xEF else 4 if 0xF0 <= lead <= 0xF4 else 0
+                if n and i + n <= len(raw) and all(0x80 <= b <= 0xBF for b in raw[i + 1 : i + n]) and (char := bytes(raw[i : i + n]).decode("utf-8", "ignore")):
+                    yield i, i + n, char
 
 
 def segments(scores: list[float]) -> list[tuple[int, int]]:
@@ -261,35 +341,13 @@ def segments(scores: list[float]) -> list[tuple[int, int]]:
     return [(int(a), int(b)) for a, b, _, _ in stack]
 
 
+_WORD = re.compile("[^ _.,()-]+")
+
+
 def runs(text: str, counts: PairCounts) -> list[tuple[int, int]]:
-    """The improbable runs of a value, widened to whole words."""
-    scores, before = [], " "
-    for c in text + " ":
-        if before == "�" or c == "�":
-            scores.append(IMPROBABLE_BITS)
-        elif before < "\x80" and c < "\x80":
-            scores.append(-IMPROBABLE_BITS / 2)
-        else:
-            scores.append(IMPROBABLE_BITS - counts.pair(before, c)[1])
-        before = c
-    found: list[tuple[int, int]] = []
-    for start, end in segments(scores):
-        start, end = max(0, start - 1), min(len(text), end)
-        while start < end and text[start] in _SEPARATORS:
-            start += 1
-        while end > start and text[end - 1] in _SEPARATORS:
-            end -= 1
-        if start >= end:
-            continue
-        while start > 0 and text[start - 1] not in _SEPARATORS:
-            start -= 1
-        while end < len(text) and text[end] not in _SEPARATORS:
-            end += 1
-        if found and start <= found[-1][1]:
-            found[-1] = (found[-1][0], max(end, found[-1][1]))
-        else:
-            found.append((start, end))
-    return [(a, b) for a, b in found if not text[a:b].isascii()]
+    """The words of a value that hold an improbable run."""
+    words = [m.span() for m in _WORD.finditer(text)]
+    return [(a, b) for a, b in words if not text[a:b].isascii() and counts.suspect(text[a:b])]
 
 
 def _encode(run: str, codec: str) -> bytes | None:

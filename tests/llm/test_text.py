@@ -179,3 +179,35 @@ def test_encode_frame(spark):
 def test_queries_named():
     assert {"p1_found", "p2_found", "p3_found", "p5_found", "p6_ids", "p8_found"} <= set(Q.queries())
     assert all(n[0] == "p" and n[1] in "12345678" for n in Q.queries()) and F is not None
+
+
+GARBLED = [damage(w, "utf-8", r) for w, r in (("größte", "cp1252"), ("façade", "mac_roman"), ("берег", "cp1251"), ("řeka", "cp1250"))] + [damage("лодка", "koi8_r", "cp1251"), damage("вечер", "cp1251", "cp1252"), damage("城市", "gbk", "cp1252"), damage("hôtel", "cp437", "cp1252")]
+
+
+@pytest.fixture(scope="module")
+def mixed():
+    """A corpus of which every garbled word is a part, each less often than the word it was."""
+    return [*CORPUS * 3, *[f"hôtel {w} {i}.jpg" for i in range(60) for w in WORDS], *[f"{g} {w}.png" for g in GARBLED for w in WORDS]]
+
+
+def test_runs_isolate(mixed):
+    counts = G.PairCounts.of_values(mixed)
+    text = f"{GARBLED[0]} берег größte {GARBLED[5]}.jpg"
+    assert [text[a:b] for a, b in G.runs(text, counts)] == [GARBLED[0], GARBLED[5]]
+    assert all(counts.suspect(g) for g in GARBLED)
+    assert sum(map(counts.suspect, [w for w in WORDS if not w.isascii()])) <= 3
+
+
+def test_a_full_sketch_isolates_alike(mixed):
+    import numpy as np
+
+    sound = G.PairCounts.of_values(mixed, 16)
+    cells, rng = sound.rows.copy(), np.random.default_rng(3)
+    for row in cells:  # nine cells of ten hold a few pairs of others
+        other = rng.random(len(row)) < 0.9
+        row[other] += rng.integers(1, 4, int(other.sum()))
+    full = G.PairCounts(cells.reshape(-1), 16)
+    assert min(full.noise) > 0
+    assert all(full.suspect(g) for g in GARBLED)
+    assert [G.Repairer(full).value(g) for g in GARBLED] == [G.Repairer(sound).value(g) for g in GARBLED]
+    assert [G.Repairer(full).value(w) for w in WORDS] == [None] * len(WORDS)

@@ -429,11 +429,11 @@ def _decodings(run: str, strict: bool) -> Iterator[tuple[str, float, bool, str |
 
 
 def _only_dirt(run: str) -> bool:
-    """Only spaces, joiners, styled forms and look-alikes stand outside Latin: another problem's dirt, not a wrong reading."""
-    from .lookalikes import mapped
+    """Whether a run is Latin but for spaces, joiners, marks, styled forms and look-alikes: another problem's dirt, not a wrong reading."""
+    from .lookalikes import STANDING_IN
 
-    form = mapped(run)
-    return form != run and all(c.isascii() or unicodedata.name(c, "").startswith("LATIN") for c in form)
+    rest = [c for c in run if c not in STANDING_IN and unicodedata.category(c) != "Mn"]
+    return len(rest) < len(run) and any(map(str.isalpha, rest)) and all(c.isascii() or unicodedata.name(c, "").startswith("LATIN") for c in rest)
 
 
 def repair_run(run: str, counts: PairCounts, depth: int = 3) -> tuple[str, bool] | None:

@@ -1,19 +1,17 @@
 """Text that looks the same but is spelt with other characters.
 
-Each value gets a *mapped* form: full-width and styled forms become the plain
-letter, letters of other scripts that stand inside a Latin word become the
-Latin letter they look like, accents are composed, invisible characters go and
-every kind of space becomes U+0020.  Words wholly in their own script, joiners
-inside an emoji and ordinary symbols stay.  The mapped forms are then grouped
-in SQL under an accent-sensitive Unicode collation (`UNICODE`), each class
-takes one canonical member (the most frequent, then the smallest in binary
-order), and the canonical member is joined back to every value.
-
-Mapped forms in printable ASCII need no grouping: two of them are equal under
-the collation only if they are the same string, so each is its own class.
-
-Defined results: null stays null and is no case, '' is its own form, repeated
-rows each get a row, further columns of the input are left out.
+Each value gets a *mapped* form in SQL: full-width and styled forms become the
+plain letter, letters of other scripts that stand inside a Latin word become
+the Latin letter they look like, accents are composed, invisible characters go
+and every kind of space becomes U+0020.  Words wholly in their own script,
+joiners inside an emoji and ordinary symbols stay.  The mapped forms of all
+values are then grouped under an accent-sensitive Unicode collation
+(`UNICODE`), each class takes one canonical member, and that member is joined
+back to every value.  Python sees only values whose form has changed, to leave
+out those that are garbled.
+
+Defined results: null has no row, '' is its own form, repeated rows each get a
+row, further columns of the input are left out.
 """
 
 from __future__ import annotations
@@ -22,10 +20,10 @@ import unicodedata
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .garbling import PairCounts, Repairer, not_ascii
+from .garbling import PairCounts, Repairer
 
 # Letters that look like a Latin letter, by script.
 _BY_SCRIPT = {
@@ -53,7 +51,9 @@ _WEAK = frozenset("ькпгвмтнγητωσεμβυκ")
 _TURKISH = frozenset("ğşçöüâîûĞŞÇÖÜİ")
 _FILLERS = frozenset("͏ᅟᅠㅤﾠ᠎឴឵")
 _KEPT_SYMBOLS = frozenset("ªº")
-_JOINING = ("ARABIC", "SYRIAC", "DEVANAGARI", "BENGALI", "GURMUKHI", "GUJARATI", "ORIYA", "TAMIL", "TELUGU", "KANNADA", "MALAYALAM", "SINHALA", "MONGOLIAN", "KHMER", "MYANMAR", "TIBETAN")
+_JOINING = ("Arabic", "Syriac", "Devanagari", "Bengali", "Gurmukhi", "Gujarati", "Oriya", "Tamil", "Telugu", "Kannada", "Malayalam", "Sinhala", "Mongolian", "Khmer", "Myanmar", "Tibetan")
+#: Accent-sensitive and case-sensitive order of Unicode.
+COLLATION = "UNICODE"
 
 
 def _styled(c: str) -> str | None:
@@ -68,142 +68,157 @@ def _styled(c: str) -> str | None:
     return None
 
 
-_KIND: dict[str, str] = {}
+# --------------------------------------------------------------------------- the map, as expressions of the JVM
 
 
-def _kind(c: str) -> str:
-    """space, invisible, styled, letter, mark or other."""
-    if (kind := _KIND.get(c)) is None:
+def _cls(characters: Iterable[str]) -> str:
+    """The inside of a character class of Java's regular expressions."""
+    return "".join(f"\\x{{{ord(c):x}}}" for c in characters)
+
+
+def _tables() -> tuple[dict[str, str], str, dict[str, str], dict[str, str]]:
+    """(plain form of styled characters and spaces, invisible characters, look-alike to Latin with accents, letter and mark to letter)."""
+    plain: dict[str, str] = {}
+    invisible: list[str] = []
+    latin, composed = dict(LOOKS_LATIN), {}
+    for code in range(0x80, 0xF0000):
+        c = chr(code)
         category = unicodedata.category(c)
         if category == "Zs":
-            kind = "space" if c != " " else "other"
-        elif category == "Cf" or c in _FILLERS or 0xFE00 <= ord(c) <= 0xFE0F:
-            kind = "invisible"
-        elif _styled(c):
-            kind = "styled"
-        elif category[0] == "L":
-            kind = "letter"
-        elif category == "Mn":
-            kind = "mark"
-        else:
-            kind = "other"
-        if len(_KIND) < 100_000:
-            _KIND[c] = kind
-    return kind
-
-
-def _emoji_like(c: str) -> bool:
-    return unicodedata.category(c) in ("So", "Sk") or c in "‍️⃣"
-
-
-def _belongs(text: str, i: int) -> bool:
-    """Whether an invisible character has work to do: inside an emoji, or in a script that joins its letters."""
-    before, after = text[i - 1] if i else "", text[i + 1] if i + 1 < len(text) else ""
-    if 0xFE00 <= ord(text[i]) <= 0xFE0F:
-        return bool(before) and (_emoji_like(before) or not before.isascii() and not before.isalpha() or before in "0123456789#*")
-    if text[i] == "‍" and before and after and _emoji_like(before) and _emoji_like(after):
-        return True
-    if text[i] in "‌‍" and before.isalpha():
-        return unicodedata.name(before, "").startswith(_JOINING)
-    if 0xE0020 <= ord(text[i]) <= 0xE007F:
-        return bool(before) and (_emoji_like(before) or 0xE0020 <= ord(before) <= 0xE007F)
-    return False
-
-
-def _map_word(word: str) -> str:
-    """A word of letters: its stand-ins replaced if it is a Latin word, else as it is."""
-    apart = unicodedata.normalize("NFD", word)
-    letters = [c for c in apart if _kind(c) != "mark"]
-    stand_ins = [c for c in letters if c in LOOKS_LATIN]
-    if not stand_ins:
-        return word
-    others = [c for c in letters if c not in LOOKS_LATIN]
-    if any(not unicodedata.name(c, "").startswith("LATIN") for c in others):
-        return word  # letters that no Latin word has
-    scripts = {_SCRIPT_OF[c] for c in stand_ins}
-    foreign = scripts - {"latin"}
-    if foreign:
-        if not others and len(scripts) == 1:
-            return word  # wholly in its own script
-        if all(c in _WEAK for c in stand_ins if _SCRIPT_OF[c] != "latin") and not any(c.isascii() for c in others):
-            return word
-    elif set(stand_ins) == {"ı"} and not _TURKISH.isdisjoint(unicodedata.normalize("NFC", word)):
-        return word  # a dotless i among letters that are Turkish too
-    return unicodedata.normalize("NFC", "".join(LOOKS_LATIN.get(c, c) for c in apart))
-
-
-def mapped(text: str | None) -> str | None:
+            plain[c] = " "
+        elif (category == "Cf" or c in _FILLERS) and code not in _VISIBLE_FORMATS:
+            invisible.append(c)
+        elif styled := _styled(c):
+            plain[c] = styled
+        elif category[0] == "L" and (parts := unicodedata.decomposition(c)) and parts[0] != "<" and unicodedata.normalize("NFC", c) == c:
+            one, *rest = (chr(int(p, 16)) for p in parts.split())
+            if rest and unicodedata.category(rest[0]) == "Mn":
+                composed[one + rest[0]] = c
+                apart = unicodedata.normalize("NFD", c)
+                if apart[0] in LOOKS_LATIN and len(form := unicodedata.normalize("NFC", LOOKS_LATIN[apart[0]] + apart[1:])) == 1:
+                    latin[c] = form
+                    _SCRIPT_OF[c] = _SCRIPT_OF[apart[0]]
+    return plain, "".join(invisible), latin, composed
+
+
+#: Signs of Arabic, Syriac and Kaithi numbers: format characters that are seen.
+_VISIBLE_FORMATS = {*range(0x600, 0x606), 0x6DD, 0x70F, 0x890, 0x891, 0x8E2, 0x110BD, 0x110CD}
+_PLAIN, _INVISIBLE, _LATIN, _COMPOSED = _tables()
+#: Every character that some case of the map replaces or leaves out.
+STANDING_IN = frozenset([*_PLAIN, *_INVISIBLE, *_LATIN])
+_TAGS = "\\x{e0020}-\\x{e007f}"
+_SELECTORS = "\\x{fe00}-\\x{fe0f}"
+# One sign beyond the basic plane as it stands: without one Java looks behind by a half of a surrogate pair only.
+_WIDE = "\U0001f600"
+_EMOJI = "\\p{So}\\p{Sk}\\x{200d}\\x{fe0f}\\x{20e3}" + _WIDE
+_JOINED = "".join(f"\\p{{Is{s}}}" for s in _JOINING)
+#: Invisible characters with no work to do: not inside an emoji, after a symbol, or in a script that joins its letters.
+_IDLE = "|".join((
+    f"(?<![0-9#*{_WIDE}[\\P{{ASCII}}&&\\P{{L}}]])[{_SELECTORS}]",
+    f"(?<![{_JOINED}])\\x{{200d}}(?![{_EMOJI}])", f"(?<![{_JOINED}{_EMOJI}])\\x{{200d}}",
+    f"(?<![{_JOINED}])\\x{{200c}}",
+    f"(?<![{_EMOJI}{_TAGS}])[{_TAGS}]",
+    f"[{_cls(c for c in _INVISIBLE if c not in chr(0x200C) + chr(0x200D) and not 0xE0020 <= ord(c) <= 0xE007F)}]",
+))
+_LOOKING = _cls(_LATIN)
+_OF = {s: _cls(c for c in _LATIN if _SCRIPT_OF[c] == s) for s in _BY_SCRIPT}
+_FOREIGN = "".join(x for s, x in _OF.items() if s != "latin")
+_STRONG = _cls(c for c in _LATIN if _SCRIPT_OF[c] != "latin" and unicodedata.normalize("NFD", c)[0] not in _WEAK)
+#: A word of Latin letters and stand-ins, not wholly in its own script, with a stand-in that is more than a chance likeness
+#: (a dotless i among letters that are Turkish too is none).
+_STANDS_IN = (
+    "^" + "".join(f"(?![{x}\\p{{M}}]+$)" for s, x in _OF.items() if s != "latin")
+    + f"(?=.*[{_LOOKING}])(?:(?=.*[{_FOREIGN}])(?=.*[{_STRONG}A-Za-z])|(?!.*[{_FOREIGN}])(?:(?=.*[{_cls(c for c in _LATIN if _SCRIPT_OF[c] == 'latin' and c != 'ı')}])|(?!.*[{_cls(_TURKISH)}])))"
+    + f"[\\p{{IsLatin}}\\p{{M}}{_LOOKING}]+$"
+)
+
+
+def _composed(text: Column) -> Column:
+    """Letters with a mark that they have a composed form with; only clusters that hold a mark are looked at."""
+    pairs = F.create_map(*[F.lit(x) for kv in _COMPOSED.items() for x in kv])
+
+    def add(done: Column, mark: Column) -> Column:
+        both = F.try_element_at(pairs, F.concat(F.left(done, F.lit(1)), mark))
+        return F.when(both.isNotNull(), F.concat(both, F.substr(done, F.lit(2)))).otherwise(F.concat(done, mark))
+
+    cluster = lambda c: F.when(F.char_length(c) == 1, c).otherwise(F.aggregate(F.split(c, ""), F.lit(""), add))
+    whole = F.array_join(F.transform(F.regexp_extract_all(text, F.lit(r"(?s)(?:\P{Mn}\p{Mn}+|[^\p{Mn}]*[^\p{Mn}](?!\p{Mn})|\p{Mn}+)"), F.lit(0)), lambda c: F.when(c.rlike(r"\A(?s:.)\p{Mn}+\z"), cluster(c)).otherwise(c)), "")
+    return whole
+
+
+def _latin_words(text: Column) -> Column:
+    words = F.regexp_extract_all(text, F.lit(r"(?s)\p{L}[\p{L}\p{Mn}]*|[^\p{L}]+"), F.lit(0))
+    told = F.transform(words, lambda w: F.when(w.rlike(_STANDS_IN), F.translate(w, "".join(_LATIN), "".join(_LATIN.values()))).otherwise(w))
+    return F.array_join(told, "")
+
+
+def mapped(value: Column) -> Column:
     """The look-alike-mapped form of a value; the value itself where it holds no case."""
-    if not text or text.isascii():
-        return text
-    kinds = [_kind(c) for c in text]
-    out: list[str] = []
-    for i, (c, kind) in enumerate(zip(text, kinds, strict=True)):
-        if kind == "invisible":
-            if _belongs(text, i):
-                out.append(c)
-        elif kind == "space":
-            out.append(" ")
-        elif kind == "styled":
-            out.append(_styled(c) or c)
-        else:
-            out.append(c)
-    plain = unicodedata.normalize("NFC", "".join(out)) if "mark" in kinds else "".join(out)
-    words, word = [], ""
-    for c in plain:
-        if c.isalpha() or word and _kind(c) == "mark":
-            word += c
-        else:
-            if word:
-                words.append(word if word.isascii() else _map_word(word))
-                word = ""
-            words.append(c)
-    if word:
-        words.append(word if word.isascii() else _map_word(word))
-    return "".join(words)
-
-
-def map_values(spark: SparkSession, values: DataFrame, counts: PairCounts) -> DataFrame:
-    """source_table, record_id, field_name, value, mapped of the values outside ASCII, garbled ones left as they are.
-
-    A value that the wrong-encoding operator finds is no case here; its
-    mapped form is the value.
-    """
+    marks, looks = value.rlike(r"\p{Mn}"), value.rlike(f"[{_LOOKING}]")
+    styled = F.translate(F.regexp_replace(value, _IDLE, ""), "".join(_PLAIN), "".join(_PLAIN.values()))
+    form = F.when(marks & looks, _composed(_latin_words(_composed(styled)))).when(marks, _composed(styled)).when(looks, _latin_words(styled)).otherwise(styled)
+    return F.when(F.octet_length(value) == F.char_length(value), value).otherwise(form)
+
+
+# --------------------------------------------------------------------------- on DataFrames
+
+
+def map_values(values: DataFrame) -> DataFrame:
+    """source_table, record_id, field_name, value, mapped of all values that are not null."""
+    return values.select("source_table", "record_id", "field_name", "value").filter(F.col("value").isNotNull()).withColumn("mapped", mapped(F.col("value")))
+
+
+def _written_so(spark: SparkSession, changed: DataFrame, counts: PairCounts) -> DataFrame:
+    """The rows without those that the wrong-encoding operator finds: they are no cases here."""
     shared = spark.sparkContext.broadcast((counts.rows, counts.log_width))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, log_width = shared.value
         repairer = Repairer(PairCounts(rows, log_width))
         for batch in batches:
-            forms = []
-            for text in batch.column("value").to_pylist():
-                form = mapped(text)
-                forms.append(text if form != text and repairer.value(text) else form)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(forms, pa.string())], names=[*batch.schema.names, "mapped"])
+            sound = [repairer.value(text) is None for text in batch.column("value").to_pylist()]
+            yield batch.filter(pa.array(sound, pa.bool_()))
 
-    wanted = values.select("source_table", "record_id", "field_name", "value").filter(not_ascii("value"))
-    return wanted.mapInArrow(
-        run, "source_table string, record_id long, field_name string, value string, mapped string"
-    )
+    return changed.mapInArrow(run, changed.schema)
 
 
-def canonical(spark: SparkSession, values: DataFrame, counts: PairCounts) -> DataFrame:
-    """Every value outside ASCII with the canonical member of its equivalence class.
+def classes(forms: DataFrame) -> DataFrame:
+    """class, canonical: the equivalence classes of all mapped forms under the collation that hold more than one form.
 
-    Result: source_table, record_id, field_name, value, canonical.  Values in
-    ASCII are their own canonical form and pass no Python and no shuffle.
+    The canonical member is the shortest form, then the smallest in binary
+    order, so what a class ignores (a selector after a symbol, a stretching
+    sign) is left out, however often it is written.
     """
-    forms = map_values(spark, values, counts)
-    in_ascii = F.octet_length("mapped") == F.char_length("mapped")
-    key = F.collate(F.col("mapped"), "UNICODE")
-    ascii_forms = forms.filter(in_ascii).withColumn("canonical", F.col("mapped"))
-    rest = forms.filter(~in_ascii)
-    classes = (
-        rest.groupBy("mapped")
-        .agg(F.count("*").alias("n"))
-        .groupBy(key.alias("class"))
-        .agg(F.min(F.struct(-F.col("n"), F.col("mapped"))).getField("mapped").alias("canonical"))
-    )
-    joined = rest.join(classes, key == F.col("class")).drop("class")
-    columns = ["source_table", "record_id", "field_name", "value", "canonical"]
-    return ascii_forms.select(columns).unionAll(joined.select(columns))
+    form = F.struct(F.char_length("mapped").alias("length"), F.col("mapped").alias("form"))
+    held = forms.groupBy(F.collate(F.col("mapped"), COLLATION).alias("class")).agg(F.min(form).alias("least"), F.max(form).alias("most"))
+    return held.filter(F.col("least") != F.col("most")).select("class", F.col("least.form").alias("canonical"))
+
+
+def _settled(rows: DataFrame, found: DataFrame) -> DataFrame:
+    joined = rows.join(found, F.collate(F.col("mapped"), COLLATION) == F.col("class"), "left")
+    return joined.withColumn("canonical", F.coalesce("canonical", "mapped")).drop("class")
+
+
+_COLUMNS = ["source_table", "record_id", "field_name", "value", "canonical"]
+
+
+def cases(spark: SparkSession, values: DataFrame, counts: PairCounts) -> DataFrame:
+    """The values that are spelt with other characters, with the canonical member of their class.
+
+    A value that is a member of its class as it stands is no case, whatever
+    member stands for the class.
+    """
+    forms = map_values(values)
+    changed = _written_so(spark, forms.filter(F.col("mapped") != F.col("value")), counts)
+    return _settled(changed, classes(forms)).filter(F.col("canonical") != F.col("value")).select(_COLUMNS)
+
+
+def canonical(spark: SparkSession, values: DataFrame, counts: PairCounts) -> DataFrame:
+    """Every value that is not null with the canonical member of its class; garbled ones stay as they are."""
+    forms = map_values(values)
+    changed = _written_so(spark, forms.filter(F.col("mapped") != F.col("value")), counts)
+    sound = changed.select("source_table", "record_id", "field_name", F.lit(True).alias("sound"))
+    rows = forms.filter(F.col("mapped") == F.col("value"))
+    garbled = forms.filter(F.col("mapped") != F.col("value")).join(sound, ["source_table", "record_id", "field_name"], "left_anti")
+    as_written = garbled.withColumn("canonical", F.col("value")).select(_COLUMNS)
+    return _settled(rows.unionByName(changed), classes(forms)).select(_COLUMNS).unionByName(as_written)

@@ -19,16 +19,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _NAMED = (("files", "search_name"), ("files", "storage"), ("albums", "title"))
 
 
-def _values(spark: SparkSession, sf_dir: str, fields: tuple[tuple[str, str], ...]) -> DataFrame:
-    """source_table, record_id, field_name, value of the given text columns; one scan a table."""
+def _values(spark: SparkSession, sf_dir: str, fields: tuple[tuple[str, str], ...], in_ascii: bool = False) -> DataFrame:
+    """source_table, record_id, field_name, value of the given text columns, those in ASCII too or not; one scan a table."""
     parts = []
     for table in dict.fromkeys(t for t, _ in fields):
         columns = [c for t, c in fields if t == table]
+        rows = _table(spark, sf_dir, table)
+        if not in_ascii:
+            rows = rows.filter(reduce(lambda a, b: a | b, [garbling.not_ascii(c) for c in columns]))
         stacked = F.explode(F.array(*[F.struct(F.lit(c).alias("field_name"), F.col(c).alias("value")) for c in columns]))
+        if len(columns) == 1:
+            parts.append(rows.select(F.lit(table).alias("source_table"), F.col("id").alias("record_id"), F.lit(columns[0]).alias("field_name"), F.col(columns[0]).alias("value")))
+            continue
         parts.append(
-            _table(spark, sf_dir, table)
-            .filter(reduce(lambda a, b: a | b, [garbling.not_ascii(c) for c in columns]))
-            .select(F.lit(table).alias("source_table"), F.col("id").alias("record_id"), stacked.alias("x"))
+            rows.select(F.lit(table).alias("source_table"), F.col("id").alias("record_id"), stacked.alias("x"))
             .select("source_table", "record_id", "x.field_name", "x.value")
         )
     return reduce(DataFrame.unionAll, parts)
@@ -51,18 +55,13 @@ _SEARCHED = (("files", "search_name"), ("albums", "title"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    forms = lookalikes.canonical(spark, _values(spark, sf_dir, _SEARCHED), _counts(spark, sf_dir))
-    return forms.filter(F.col("canonical") != F.col("value")).select("source_table", "record_id", "field_name")
+    found = lookalikes.cases(spark, _values(spark, sf_dir, _SEARCHED, True), _counts(spark, sf_dir))
+    return found.select("source_table", "record_id", "field_name")
 
 
 def p2_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every value with its consistent form; ASCII values are their own."""
-    forms = lookalikes.canonical(spark, _values(spark, sf_dir, _SEARCHED), _counts(spark, sf_dir))
-    plain = []
-    for table, column in _SEARCHED:
-        rows = _table(spark, sf_dir, table).filter(~garbling.not_ascii(column))
-        plain.append(rows.select(F.lit(table).alias("source_table"), F.col("id").alias("record_id"), F.lit(column).alias("field_name"), F.col(column).alias("value"), F.col(column).alias("canonical")))
-    return reduce(DataFrame.unionAll, plain, forms)
+    """Every value with its consistent form."""
+    return lookalikes.canonical(spark, _values(spark, sf_dir, _SEARCHED, True), _counts(spark, sf_dir))
 
 
 _COUNTED = ["search_name", "extension"]

@@ -117,13 +117,42 @@ def test_a_garbled_word_in_many_names(counts):
     ("value", "form"),
     [("ｃｏｖｅｒ（１）.jpg", "cover(1).jpg"), ("café", "café"), ("h﻿oll­ow", "hollow"), ("a b c　d", "a b c d"), ("cоvеr", "cover"), ("𝗕𝗼𝗹𝗱 𝚡", "Bold x"), ("kıte", "kite"), ("Uոtіtlеd", "Untitled"), ("blåbɑ̈r", "blåbär"), ("ѕсаո", "scan"), ("ﾠx", "x")],
 )
-def test_mapped(value, form):
-    assert L.mapped(value) == form and L.mapped(form) == form
+def test_mapped(spark, value, form):
+    assert mapped(spark, value, form) == [form, form]
 
 
 @pytest.mark.parametrize("value", [None, "", "plain\ttab", "берег", "θάλασσα", "сосо", "ağız", "👨‍👩‍👧", "❤️", "№7 ªº ½ ™", "été", "می‌خواهم", "城市", "naïve", "½"])
-def test_not_mapped(value):
-    assert L.mapped(value) == value
+def test_not_mapped(spark, value):
+    assert mapped(spark, value) == [value]
+
+
+def mapped(spark, *values):
+    df = spark.createDataFrame(list(enumerate(values)), "i int, v string")
+    return [r["m"] for r in df.select("i", L.mapped(F.col("v")).alias("m")).orderBy("i").collect()]
+
+
+LATIN = "aeiouAEIOUnNcCsSzZyYrRlLtTgGdDhHkKwWuU"
+MARKS = "\u0300\u0301\u0302\u0303\u0308\u030a\u030c\u0327\u0328\u0323\u0306\u0304"
+
+
+def test_composed_forms_against_the_library(spark):
+    import random
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(LATIN) + rng.choice(["", rng.choice(MARKS)]) for _ in range(9)) for _ in range(300)] + [unicodedata.normalize("NFD", "ệ ǖ Ấn Độ й ё ά 각"), "e" * 50_000 + "\u0301", "\u0301x"]
+    for text, form in zip(texts, mapped(spark, *texts), strict=True):
+        if not any(c in L.LOOKS_LATIN for c in unicodedata.normalize("NFD", text)):
+            assert form == unicodedata.normalize("NFC", text)
+
+
+def test_clean_members_of_a_class_are_no_cases(spark, counts):
+    rows = [("Love ♥",), *[("Love ♥️",)] * 3, ("محمد",), *[("مـحمد",)] * 2, ("क्‍ष",), ("naïve",), ("Love\u00a0♥️",), ("naïve",), ("nai\u0308ve",), (None,), ("",)]
+    df = spark.createDataFrame([("files", i, "n", *r, "x") for i, r in enumerate(rows)], "source_table string, record_id long, field_name string, value string, mapped string")
+    found = {r["record_id"]: r["canonical"] for r in L.cases(spark, df, counts).collect()}
+    assert found == {9: "Love ♥", 11: "naïve"}
+    one = {r["record_id"]: r["canonical"] for r in L.canonical(spark, df, counts).collect()}
+    assert {one[i] for i in (0, 1, 2, 3, 9)} == {"Love ♥"} and len({one[i] for i in (4, 5, 6)}) == 1 and one[7] == "क्‍ष" and 12 not in one and one[13] == ""
+    assert L.cases(spark, df.limit(0), counts).isEmpty()
 
 
 def test_canonical_frame(spark, counts):
@@ -131,7 +160,7 @@ def test_canonical_frame(spark, counts):
     rows = [("files", 1, "n", "cоver.jpg"), ("files", 2, "n", "cover.jpg"), ("files", 3, "n", "café"), ("files", 4, "n", "café"), ("files", 5, "n", bad), ("files", 6, "n", None), ("files", 7, "n", "берег​"), ("files", 8, "n", "берег"), ("files", 9, "n", "Ω")]
     df = spark.createDataFrame(rows, "source_table string, record_id long, field_name string, value string")
     got = {r["record_id"]: r["canonical"] for r in L.canonical(spark, df, counts).collect()}
-    assert got == {1: "cover.jpg", 3: "café", 4: "café", 5: bad, 7: "берег", 8: "берег", 9: "Ω"}
+    assert got == {1: "cover.jpg", 2: "cover.jpg", 3: "café", 4: "café", 5: bad, 7: "берег", 8: "берег", 9: "Ω"}
     assert all(unicodedata.is_normalized("NFC", v) for k, v in got.items() if k != 9)
     assert L.canonical(spark, df.limit(0), counts).count() == 0
 

@@ -135,7 +135,8 @@ _STANDS_IN = (
 
 def _composed(text: Column) -> Column:
     """Letters with a mark that they have a composed form with; only clusters that hold a mark are looked at."""
-    pairs = F.create_map(*[F.lit(x) for kv in _COMPOSED.items() for x in kv])
+    # folded to one constant
+    pairs = F.map_from_arrays(F.split(F.lit(" ".join(_COMPOSED)), " "), F.split(F.lit(" ".join(_COMPOSED.values())), " "))
 
     def add(done: Column, mark: Column) -> Column:
         both = F.try_element_at(pairs, F.concat(F.left(done, F.lit(1)), mark))

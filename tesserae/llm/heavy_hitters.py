@@ -6,9 +6,9 @@ entry with ``count + delta <= b`` goes, so an entry's true count is between
 ``count`` and ``count + delta`` and a missing item occurred at most b times.
 Partition summaries merge by adding counts and adding the possible undercounts,
 those of the partitions that hold no entry included, which gives a guaranteed
-interval per item.  Memory is bounded by ``(1 / epsilon) * log(epsilon * n)``
-entries a field (Manku and Motwani, 2002), whatever the number of distinct
-values.
+interval per item.  Memory is bounded by ``(2 / epsilon) * log(epsilon * n / 2)``
+entries a field and partition (Manku and Motwani, 2002) and ``2 / epsilon`` a
+field once they are merged, whatever the number of distinct values.
 
 Defined results: null and '' count as rows but are no items; an empty table
 gives no rows; values count exactly as stored.
@@ -82,15 +82,21 @@ def summarize(batches: Iterable[pa.RecordBatch], epsilon: float) -> Iterator[pa.
 
 
 def summaries(df: DataFrame, fields: list[str], epsilon: float = EPSILON) -> DataFrame:
-    """One summary per partition of the text columns ``fields``: small rows that can be kept and merged later."""
-    return df.select(*fields).mapInArrow(lambda batches: summarize(batches, epsilon), _SUMMARY)
+    """One summary per partition of the text columns ``fields``: small rows that can be kept and merged later.
+
+    Partitions count at half of ``epsilon``; the other half is left for the pruning of merged summaries.
+    """
+    return df.select(*fields).mapInArrow(lambda batches: summarize(batches, epsilon / 2), _SUMMARY)
 
 
-def merge(parts: DataFrame) -> DataFrame:
+def merge(parts: DataFrame, epsilon: float = EPSILON) -> DataFrame:
     """Merged summaries (any number of them, of any slices): field_name, item, count_low, count_high, row_count.
 
-    The totals of a field have its name and a null item on their way and go
-    through the same two-phase aggregation as the items.
+    Counts add up task by task before they meet.  An entry that cannot have
+    occurred more than ``epsilon * row_count`` times is pruned, so at most
+    ``2 / epsilon`` entries a field are left, however many summaries there
+    were, and an item without an entry occurred at most ``epsilon * row_count``
+    times.  The totals of a field have its name and a null item on their way.
     """
     merged = parts.groupBy("field_name", "item").agg(
         F.sum("n").alias("n"), F.sum("slack").alias("slack"), F.sum("missed").alias("missed"), F.sum("row_count").alias("row_count")
@@ -106,6 +112,7 @@ def merge(parts: DataFrame) -> DataFrame:
             "field_name", "item", F.col("n").alias("count_low"),
             (F.col("n") + F.col("all_missed") - F.col("slack")).alias("count_high"), F.col("all_rows").alias("row_count"),
         )
+        .filter(F.col("count_high") > F.col("row_count") * F.lit(epsilon))
     )
 
 
@@ -113,7 +120,7 @@ def frequent(df: DataFrame, fields: list[str], share: float, epsilon: float = EP
     """All items whose guaranteed interval reaches ``share`` of the rows: none above it is missing."""
     if not epsilon < share:
         raise ValueError("epsilon must be smaller than share")
-    return merge(summaries(df, fields, epsilon)).filter(F.col("count_high") >= F.col("row_count") * F.lit(share))
+    return merge(summaries(df, fields, epsilon), epsilon).filter(F.col("count_high") >= F.col("row_count") * F.lit(share))
 
 
 def top(df: DataFrame, fields: list[str], k: int, epsilon: float = EPSILON) -> DataFrame:
@@ -121,15 +128,15 @@ def top(df: DataFrame, fields: list[str], k: int, epsilon: float = EPSILON) -> D
 
     guaranteed: no item outside the k can have occurred more often.
     """
-    merged = merge(summaries(df, fields, epsilon))
-    # merged summaries hold at most (1 / epsilon) * log(epsilon * rows) items a field and partition
+    merged = merge(summaries(df, fields, epsilon), epsilon)
+    # at most 2 / epsilon rows a field
     best = Window.partitionBy("field_name").orderBy(F.desc("count_low"), "item")
     ranked = merged.withColumn("rank", F.row_number().over(best))
     rest = ranked.filter(F.col("rank") > k).groupBy("field_name").agg(F.max("count_high").alias("rest"))
     return (
         ranked.filter(F.col("rank") <= k)
         .join(F.broadcast(rest), "field_name", "left")
-        .select("field_name", "item", "rank", "count_low", "count_high", F.coalesce(F.col("count_low") >= F.col("rest"), F.lit(True)).alias("guaranteed"))
+        .select("field_name", "item", "rank", "count_low", "count_high", ((F.col("count_low") >= F.coalesce("rest", F.lit(0))) & (F.col("count_low") >= F.col("row_count") * F.lit(epsilon))).alias("guaranteed"))
     )
 
 
@@ -137,7 +144,7 @@ def exactly(df: DataFrame, fields: list[str], candidates: DataFrame, share: floa
     """The candidates that really are held by ``share`` of all rows: field_name, item, n.
 
     ``candidates`` come from :func:`frequent`; there are at most
-    ``1 / (share - epsilon)`` a field and partition-sized bucket, so they are broadcast.
+    ``1 / (share - epsilon)`` a field, so they are broadcast.
     """
     stacked = df.select(
         F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("item")) for f in fields])).alias("x")

@@ -32,9 +32,14 @@ def _shift(magnitude: Column, bits: int) -> Column:
     return F.greatest(F.length(F.bin(magnitude)) - F.lit(bits), F.lit(0)).cast("int")
 
 
+def _magnitude(value: Column) -> Column:
+    """The absolute value; that of the smallest BIGINT, which has none, is taken as the greatest BIGINT."""
+    return F.abs(F.greatest(value, F.lit(-(2**63) + 1)))
+
+
 def cell(value: Column, bits: int = BITS) -> tuple[Column, Column]:
     """(lowest, highest) value of the cell of an integer value; its order is that of the values."""
-    magnitude = F.abs(value)
+    magnitude = _magnitude(value)
     low = F.call_function("shiftleft", F.call_function("shiftright", magnitude, _shift(magnitude, bits)), _shift(magnitude, bits))
     high = low + F.call_function("shiftleft", F.lit(1).cast("long"), _shift(magnitude, bits)) - 1
     return F.when(value < 0, -high).otherwise(low), F.when(value < 0, -low).otherwise(high)
@@ -64,12 +69,13 @@ def percentiles(counts: DataFrame, ps: tuple[float, ...] = PERCENTILES, bits: in
     keyed = counts.select(
         F.col("field_name"), F.coalesce(F.concat(F.lit("="), "group_value"), F.lit("null")).alias("key"), "cell", "n", leading.alias("range")
     )
-    inside = Window.partitionBy("field_name", "key", "range").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
-    running = keyed.withColumn("in_range", F.sum("n").over(inside))
-    totals = keyed.groupBy("field_name", "key", "range").agg(F.sum("n").alias("range_n"))
+    of_range = Window.partitionBy("field_name", "key", "range")
+    inside = of_range.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
+    # both sides of the join below come from this one shuffle
+    running = keyed.withColumns({"in_range": F.sum("n").over(inside), "range_n": F.sum("n").over(of_range)})
     # at most 64 * 2**RANGE_BITS rows a group
     before = Window.partitionBy("field_name", "key").orderBy("range")
-    offsets = totals.select(
+    offsets = running.filter(F.col("in_range") == F.col("range_n")).select(
         "field_name", "key", "range",
         (F.sum("range_n").over(before) - F.col("range_n")).alias("offset"),
         F.sum("range_n").over(Window.partitionBy("field_name", "key")).alias("total"),
@@ -78,7 +84,7 @@ def percentiles(counts: DataFrame, ps: tuple[float, ...] = PERCENTILES, bits: in
     placed = running.join(offsets, ["field_name", "key", "range"]).select("field_name", "key", "cell", "n", "total", (F.col("offset") + F.col("in_range")).alias("reached"), p)
     target = F.greatest(F.lit(1).cast("double"), F.ceil(F.col("p") * F.col("total")).cast("double"))
     found = placed.filter((F.col("reached") >= target) & (F.col("reached") - F.col("n") < target))
-    magnitude = F.abs("cell")
+    magnitude = _magnitude(F.col("cell"))
     width = F.call_function("shiftleft", F.lit(1).cast("long"), _shift(magnitude, bits)) - 1
     # a negative cell is named by its lowest value, whose last bits are all set, so its width is the same rule
     return found.select(

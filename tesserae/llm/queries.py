@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.storage import shared_table
+from ..functions.storage import shared_path, shared_table
 from . import byte_bpe, containers, copies, garbling, heavy_hitters, lookalikes, percentiles, subjects
 
 
@@ -89,33 +89,36 @@ def p4_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return percentiles.percentiles(percentiles.combine(*slices))
 
 
-def _keyed(spark: SparkSession, sf_dir: str, recent: bool | None = None) -> DataFrame:
-    """The keyed rows of both tables; recent: only the rows of one of the two batches by arrival."""
+def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keyed rows of both tables, with the batch by arrival that each came in."""
 
-    def batch(name: str, arrival: str) -> DataFrame:
-        table = _table(spark, sf_dir, name)
-        return table if recent is None else table.filter(F.coalesce(F.year(arrival) >= 2024, F.lit(False)) == recent)
+    def keyed(name: str, arrival: str, text: str, equal: list[str], has_ending: bool) -> DataFrame:
+        table = _table(spark, sf_dir, name).withColumn("recent", F.coalesce(F.year(arrival) >= 2024, F.lit(False)))
+        return copies.keys(table, text, "id", equal, has_ending, name, ["recent"])
 
-    files = copies.keys(batch("files", "uploaded_at"), "search_name", "id", ["album_id", "size"], True, "files")
-    albums = copies.keys(batch("albums", "discovered_at"), "title", "id", [], False, "albums")
-    return files.unionByName(albums)
+    files = keyed("files", "uploaded_at", "search_name", ["album_id", "size"], True)
+    return files.unionByName(keyed("albums", "discovered_at", "title", [], False))
 
 
-def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ledger after two batches by arrival: copies of one class are in both."""
-    ledger = copies.update(None, copies.aggregate(_keyed(spark, sf_dir, recent=False)))
-    return copies.update(ledger, copies.aggregate(_keyed(spark, sf_dir, recent=True)))
+def _ledger(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """The stored ledger after two batches by arrival: copies of one class are in both."""
+    ledger = copies.Ledger(spark, shared_path(spark, "ledger"))
+    for recent in (False, True):
+        ledger.take(rows.filter(F.col("recent") == recent), f"recent={recent}")
+    return ledger.read()
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # keyed once: read by both batches and by the members
+    rows = shared_table(_keyed(spark, sf_dir), "keyed")
     # the classes of more than one row are stored: they are read three times
-    found = shared_table(copies.classes(_ledger(spark, sf_dir)).filter("copies > 1"), "classes")
-    return copies.members(_keyed(spark, sf_dir), found)
+    found = shared_table(copies.classes(_ledger(spark, rows)).filter("copies > 1"), "classes")
+    return copies.members(rows, found)
 
 
 def p5_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One record a class with its number of copies, from a ledger that took the tables in two batches by arrival."""
-    return copies.records(copies.classes(_ledger(spark, sf_dir)))
+    return copies.records(copies.classes(_ledger(spark, shared_table(_keyed(spark, sf_dir), "keyed"))))
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -102,14 +102,47 @@ def test_copies(spark):
     assert D.members(keyed, classed).count() == 0
 
 
-def test_a_stored_ledger_takes_batches(spark, tmp_path):
+def test_a_stored_ledger_takes_batches(spark, tmp_path, monkeypatch):
     df = spark.createDataFrame(NAMES, "id long, album_id string, size long, name string")
     keyed = D.keys(df, "name", "id", ["album_id", "size"], True, "files")
-    for part in ("id > 9", "id <= 9 AND id > 2", "id <= 2", "id > 99"):
-        D.update_stored(spark, str(tmp_path / "ledger"), D.aggregate(keyed.filter(part)))
-    columns = D.aggregate(keyed).columns
-    stored = spark.read.parquet(str(tmp_path / "ledger")).select(columns)
-    assert sorted(map(str, stored.collect())) == sorted(map(str, D.aggregate(keyed).collect()))
+    ledger = D.Ledger(spark, str(tmp_path / "ledger"), 16)
+    assert ledger.read().isEmpty()
+    parts = ("id > 9", "id <= 9 AND id > 2", "id <= 2", "id > 99")
+    assert all(ledger.take(keyed.filter(part), part) for part in parts)
+    want = sorted(map(str, D.aggregate(keyed, 16).collect()))
+    state = lambda: sorted(map(str, ledger.read().collect()))
+    assert state() == want
+    assert not ledger.take(keyed.filter("id > 9"), "id > 9") and state() == want  # a batch that comes again
+    with monkeypatch.context() as m:  # one that dies before its pointer
+        m.setattr(D.Pointers, "publish", lambda *_: (_ for _ in ()).throw(OSError("gone")))
+        with pytest.raises(OSError, match="gone"):
+            ledger.take(keyed, "new")
+    assert state() == want
+    publish = D.Pointers.publish
+    met = []
+
+    def late(self, content, base):  # one that meets another writer
+        if not met:
+            met.append(1)
+            D.Ledger(spark, str(tmp_path / "ledger"), 16).take(keyed.filter("id = 1"), "other")
+        return publish(self, content, base)
+
+    with monkeypatch.context() as m:
+        m.setattr(D.Pointers, "publish", late)
+        ledger.take(keyed.filter("id = 1"), "mine")
+    assert ledger.read().agg({"copies": "sum"}).first()[0] == D.aggregate(keyed).agg({"copies": "sum"}).first()[0] + 2
+
+
+def test_many_spellings_of_one_key():
+    import time
+
+    digits = itertools.islice(itertools.permutations("12345678"), 30_000)
+    rows = [{"spelling": f". album {''.join(d)}", "fine": i, "first_id": i, "copies": 1} for i, d in enumerate(digits)]
+    words = [{"spelling": ". " + " ".join(sorted(("".join(p[:3]), "".join(p[3:])))), "fine": i, "first_id": i, "copies": 1} for i, p in enumerate(itertools.permutations("abcdefgh"))][:30_000]
+    began = time.perf_counter()
+    assert len({f for _, f, _ in D._classes_of(rows)}) == 30_000
+    assert len({f for _, f, _ in D._classes_of(words)}) < 30_000
+    assert time.perf_counter() - began < 30
 
 
 def test_a_hot_class(spark, monkeypatch):

@@ -9,17 +9,19 @@ subjects and on the background.  A few background components take up what all
 notebooks share.  W is never kept: each pass over the corpus solves it per
 document and adds up the update of H, which has a fixed size.
 
-The components give each word a share per subject.  A document's evidence for
-a subject is the number of its sentences (or code lines) with words of that
-subject, how many such words there are, and the subject's share among the
-subject words; labelled documents (a bounded number, ``LABEL_BOUND``) set the
-weights of these figures and the threshold.  A passing remark is one sentence
-with one mention and stays below it.
+With H in place, a document's row of W is its subject mixture.  It is solved
+over the document's different words, so a row adds up to their number, and a
+subject's part of it is the number of words that the mixture gives to the
+subject (its *mass*).  A document is about the subjects whose mass reaches
+one bound for all subjects; a passing remark is a few words and stays below
+it, however long or short the document.  The bound is where labelled documents
+(a bounded number, ``LABEL_BOUND``) are told apart best.
 
 Defined results: null, empty and blank texts have no subject and no row;
 documents without subject words have none; labels of unknown documents or
 subjects are left out, repeated labels count by their annotators; with no
-labels at all the descriptions alone anchor the components.
+labels at all the descriptions alone anchor the components and the bound is
+``MASS``.
 """
 
 from __future__ import annotations
@@ -41,9 +43,11 @@ ROUNDS = 3
 LABEL_BOUND = 20_000
 #: A word seen SEEN times in labelled documents can belong to a subject only with COMMON_SHARE times its even share there.
 SEEN, COMMON_SHARE = 6.0, 3.0
-#: Letters of the longest word that is a term; German compounds pass 24.
-LONGEST = 40
+#: Words' worth of a subject that make a document be about it, where too few labels tell.
+MASS = 4.5
 _INNER = 4  # updates of W per document and pass
+_INNER_LAST = 8  # the same for the mixtures that count
+_GROUP = 64  # partitions whose arrays are added up before they meet all others
 _SMOOTH = 1e-3
 _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})")
 _NOISE = re.compile(r"[A-Za-z0-9+/=]{60,}")
@@ -59,7 +63,7 @@ class _Columns(dict):
         word = spelt.decode("utf-8", "replace")
         if spelt == _END:
             column = 0
-        elif not 3 <= len(word) <= LONGEST or not word.isalpha():
+        elif not word.isalpha():
             column = _NO_TERM
         else:
             stem = word[:-1] if len(word) > 4 and word.endswith("s") and not word.endswith("ss") else word
@@ -100,7 +104,8 @@ def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Matrix:
     """A slice of the document-term matrix in rows of (document, column, count)."""
 
-    def __init__(self, packed: list[bytes]) -> None:
+    def __init__(self, packed: list[bytes], once: bool = False) -> None:
+        """once: a word of a document counts once, else a little more for being repeated."""
         parts = [np.frombuffer(p, np.uint16) for p in packed]
         lengths = np.array([len(p) for p in parts], dtype=np.int64)
         self.flat = np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
@@ -108,10 +113,9 @@ class Matrix:
         words = self.flat > 0
         key, self.count = np.unique(self.doc_of[words] * COLUMNS + self.flat[words], return_counts=True)
         self.doc, self.column, self.n_docs = key // COLUMNS, key % COLUMNS, len(parts)
-        # a word counts once and a little more for being repeated
-        self.count = (1.0 + np.log(self.count)).astype(np.float32)
+        self.count = (np.ones_like(self.count) if once else 1.0 + np.log(self.count)).astype(np.float32)
 
-    def factor(self, h: np.ndarray, allowed: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    def factor(self, h: np.ndarray, allowed: np.ndarray | None, inner: int = _INNER) -> tuple[np.ndarray, np.ndarray]:
         """(W, X / (W H) by entry) after the inner updates, for fixed H with rows that add up to 1."""
         k = h.shape[0]
         w = np.ones((self.n_docs, k), np.float32) if allowed is None else allowed.astype(np.float32)
@@ -119,7 +123,7 @@ class Matrix:
         starts = np.searchsorted(self.doc, np.arange(self.n_docs))
         empty = starts == np.append(starts[1:], len(self.doc))
         ratio = np.zeros(len(self.doc), np.float32)
-        for _ in range(_INNER):
+        for _ in range(inner):
             ratio = self.count / np.maximum(np.einsum("ek,ek->e", w[self.doc], hc), 1e-12)
             if len(self.doc):
                 gain = np.add.reduceat(hc * ratio[:, None], np.minimum(starts, len(self.doc) - 1), axis=0)
@@ -162,8 +166,10 @@ def _add_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _summed(parts: DataFrame, n: int) -> np.ndarray:
-    """The sum of all partitions' arrays: tasks add per component, so the driver gets n arrays of fixed size."""
-    reduced = parts.repartition(n, "component").mapInArrow(_add_blocks, "component int, cells binary")
+    """The sum of all partitions' arrays in two steps: groups of partitions, then all; the driver gets n arrays of fixed size."""
+    cells = "component int, cells binary"
+    grouped = parts.withColumn("group", F.floor(F.spark_partition_id() / _GROUP)).repartition("component", "group").select("component", "cells")
+    reduced = grouped.mapInArrow(_add_blocks, cells).repartition(n, "component").mapInArrow(_add_blocks, cells)
     out = np.zeros((n, COLUMNS))
     for row in reduced.collect():
         out[row["component"]] += np.frombuffer(row["cells"], np.float32)
@@ -216,61 +222,21 @@ def update_counts(ids: list[int], packed: list[bytes], labels: dict[int, np.ndar
         totals[k] += np.bincount(m.column, w[:, k] * h[k, m.column], minlength=COLUMNS)
 
 
-def shares(totals: np.ndarray, n_subjects: int) -> np.ndarray:
-    """For each column: the share of each subject among all that the components hold of it."""
-    held = totals + 1e-9
-    strong = totals.sum(axis=0) > 0
-    share = held[:n_subjects] / held.sum(axis=0)
-    share[:, ~strong] = 0
-    share[:, 0] = 0
-    return share
+def mixtures(packed: list[bytes], h: np.ndarray, n_subjects: int) -> np.ndarray:
+    """documents x subjects: the mass of each subject, in different words of the document."""
+    w, _ = Matrix(packed, once=True).factor(h, None, _INNER_LAST)
+    return np.nan_to_num(w[:, :n_subjects])
 
 
-def evidence(packed: list[bytes], share: np.ndarray) -> np.ndarray:
-    """documents x subjects x (sentences, words, share, distinct words)."""
-    m = Matrix(packed)
-    n = share.shape[0]
-    top = share.argmax(axis=0)
-    is_subject = share.max(axis=0) >= 0.6
-    out = np.zeros((m.n_docs, n, 4))
-    hit = np.flatnonzero(is_subject[m.flat] & (m.flat > 0))
-    if not len(hit):
-        return out
-    subject, doc = top[m.flat[hit]], m.doc_of[hit]
-    sentence = np.cumsum(m.flat == 0)[hit]
-    cell = doc * n + subject
-    out[:, :, 1] = np.bincount(cell, minlength=m.n_docs * n).reshape(-1, n)
-    _, first = np.unique(np.stack((sentence + doc * 10_000_000, subject)), axis=1, return_index=True)
-    out[:, :, 0] = np.bincount(cell[first], minlength=m.n_docs * n).reshape(-1, n)
-    _, first = np.unique(cell * COLUMNS + m.flat[hit], return_index=True)
-    out[:, :, 3] = np.bincount(cell[first], minlength=m.n_docs * n).reshape(-1, n)
-    out[:, :, 2] = out[:, :, 1] / np.maximum(out[:, :, 1].sum(axis=1, keepdims=True), 1)
-    return out
-
-
-def _design(x: np.ndarray) -> np.ndarray:
-    s, w, share, d = np.moveaxis(x, -1, 0)
-    return np.stack((np.ones_like(s), np.log1p(s), np.log1p(w), share, np.log1p(d), (s >= 2), (s >= 3), (d >= 3), (d >= 5)), axis=-1).astype(float)
-
-
-def fit_weights(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> np.ndarray:
-    """Logistic regression of label on evidence (Newton steps, small ridge)."""
-    z, t = _design(x).reshape(-1, 9), y.reshape(-1).astype(float)
-    beta = np.zeros(9)
-    beta[0], beta[4] = -4.0, 2.0
-    if t.sum() < 20:
-        return beta
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 0.5 * np.eye(9), z.T @ (t - p) - 0.5 * beta)
-        beta += step
-        if np.abs(step).max() < 1e-6:
-            break
-    return beta
-
-
-def decide(x: np.ndarray, beta: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(_design(x) @ beta, -30, 30)))
+def bound_of(mass: np.ndarray, labelled: np.ndarray) -> float:
+    """The mass that tells labelled documents apart best: the middle of the bounds whose F1 is all but the highest."""
+    order = np.argsort(-mass, axis=None)
+    x, true = mass.ravel()[order], np.cumsum(labelled.ravel()[order])
+    if not len(true) or true[-1] < 20:
+        return MASS
+    f1 = 2 * true / (np.arange(1, len(true) + 1) + true[-1])
+    best = np.flatnonzero(f1 >= f1.max() - 5e-4)
+    return float(np.sqrt(x[best[0]] * x[best[-1]]))
 
 
 # --------------------------------------------------------------------------- on DataFrames
@@ -300,10 +266,10 @@ def _labels(labels: DataFrame, codes: list[str], bound: int) -> dict[int, np.nda
 
 
 class Model:
-    """What the factorisation gave: the share of each subject in each column, and the weights of the evidence."""
+    """What the factorisation gave: the components and the mass from which a document is about a subject."""
 
-    def __init__(self, codes: list[str], share: np.ndarray, weights: np.ndarray) -> None:
-        self.codes, self.share, self.weights = codes, share.astype(np.float32), weights
+    def __init__(self, codes: list[str], h: np.ndarray, bound: float) -> None:
+        self.codes, self.h, self.bound = codes, h.astype(np.float32), bound
 
 
 def fit(spark: SparkSession, terms_table: DataFrame, subjects: DataFrame, labels: DataFrame, rounds: int = ROUNDS, bound: int = LABEL_BOUND) -> Model:
@@ -333,42 +299,39 @@ def fit(spark: SparkSession, terms_table: DataFrame, subjects: DataFrame, labels
 
         totals = _summed(terms_table.mapInArrow(one_round, "component int, cells binary"), n + BACKGROUND)
         h = _normal(totals + np.where(h > 0, 1e-9, 0))
-    share = shares(totals, n) if rounds else shares(h, n)
-
-    shared = spark.sparkContext.broadcast(share.astype(np.float32))
+    last = spark.sparkContext.broadcast(h.astype(np.float32))
 
     def of_labelled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, packed in _slices(batches):
-            mine = [i for i, d in enumerate(ids) if d in known.value]
-            x = evidence([packed[i] for i in mine], shared.value).astype(np.float32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([ids[i] for i in mine], pa.int64()), pa.array([e.tobytes() for e in x], pa.binary())], names=["doc_id", "evidence"]
-            )
+            mass = mixtures(packed, last.value, n).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([m.tobytes() for m in mass], pa.binary())], names=["doc_id", "mass"])
 
-    # at most LABEL_BOUND rows
-    rows = terms_table.mapInArrow(of_labelled, "doc_id long, evidence binary").collect() if labelled else []
-    x = np.stack([np.frombuffer(r["evidence"], np.float32).reshape(n, 4) for r in rows]) if rows else np.zeros((0, n, 4))
-    y = np.stack([labelled[r["doc_id"]] > 0 for r in rows]) if rows else np.zeros((0, n), bool)
-    return Model(codes, share, fit_weights(x, y))
+    rows = []
+    if labelled:  # at most LABEL_BOUND documents are read, and no others reach Python
+        wanted = spark.createDataFrame([(d,) for d in sorted(labelled)], "doc_id long")
+        rows = terms_table.join(F.broadcast(wanted), "doc_id", "left_semi").mapInArrow(of_labelled, "doc_id long, mass binary").collect()
+    mass = np.stack([np.frombuffer(r["mass"], np.float32) for r in rows]) if rows else np.zeros((0, n))
+    truth = np.stack([labelled[r["doc_id"]] > 0 for r in rows]) if rows else np.zeros((0, n), bool)
+    return Model(codes, h, bound_of(mass, truth))
 
 
-def assign(spark: SparkSession, terms_table: DataFrame, model: Model, threshold: float = 0.35) -> DataFrame:
-    """doc_id, subject_code, share (of the document's subject words) and score of every subject a document is about."""
+def assign(spark: SparkSession, terms_table: DataFrame, model: Model) -> DataFrame:
+    """doc_id, subject_code, share (of the mixture's subjects) and mass of every subject a document is about."""
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for ids, packed in _slices(batches):
-            x = evidence(packed, m.share)
-            score = decide(x, m.weights)
-            doc, subject = np.nonzero(score > threshold)
+            mass = mixtures(packed, m.h, len(m.codes)).astype(np.float64)
+            share = mass / np.maximum(mass.sum(axis=1, keepdims=True), 1e-12)
+            doc, subject = np.nonzero(mass >= m.bound)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.array(ids, dtype=np.int64)[doc]), pa.array([m.codes[k] for k in subject], pa.string()),
-                 pa.array(x[doc, subject, 2]), pa.array(score[doc, subject])],
-                names=["doc_id", "subject_code", "share", "score"],
+                 pa.array(share[doc, subject]), pa.array(mass[doc, subject])],
+                names=["doc_id", "subject_code", "share", "mass"],
             )
 
-    return terms_table.mapInArrow(run, "doc_id long, subject_code string, share double, score double")
+    return terms_table.mapInArrow(run, "doc_id long, subject_code string, share double, mass double")
 
 
 def subject_areas(spark: SparkSession, documents: DataFrame, subjects: DataFrame, labels: DataFrame) -> DataFrame:

@@ -272,6 +272,6 @@ def test_subjects_on_held_out_documents(spark):
 
 def test_terms():
     assert S.terms("Courts, courts. Nb").tolist()[0] == S.terms("court").tolist()[0]
-    assert len(S.terms("Ausfallwahrscheinlichkeit")) == 1 and len(S.terms("x" * 41)) == 0
+    assert len(S.terms("Ausfallwahrscheinlichkeit")) == 1 and len(S.terms("x" * 50)) == 1 and len(S.terms("KI in 3 R")) == 3
     assert S.terms("a\\nb \\u00e4rzte")[-1] == S.terms("ärzte")[0] and S.terms("").tolist() == []
     assert len(S.terms("iVBOR" + "Ab1" * 500)) == 0

@@ -51,6 +51,16 @@ def p1_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return garbling.detect(spark, _values(spark, sf_dir, _NAMED), _counts(spark, sf_dir))
 
 
+def p1_settled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each field with its values and how many of them were restored whole but would be found once more (none should be)."""
+    counts = _counts(spark, sf_dir)
+    restored = garbling.detect(spark, _values(spark, sf_dir, _NAMED), counts).filter("recovered")
+    again = garbling.detect(spark, restored.select("source_table", "record_id", "field_name", F.col("restored").alias("value")), counts)
+    found = again.groupBy("source_table", "field_name").agg(F.count("*").alias("n"))
+    held = _values(spark, sf_dir, _NAMED, True).groupBy("source_table", "field_name").agg(F.count("value").alias("held"))
+    return held.join(found, ["source_table", "field_name"], "left").select("source_table", "field_name", "held", F.coalesce("n", F.lit(0)).alias("found_again"))
+
+
 _SEARCHED = (("files", "search_name"), ("albums", "title"))
 
 
@@ -64,6 +74,14 @@ def p2_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalikes.canonical(spark, _values(spark, sf_dir, _SEARCHED, True), _counts(spark, sf_dir))
 
 
+def p2_settled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each field with its values, how many have a canonical form, and how many values in ASCII were changed (none may be)."""
+    forms = p2_canonical(spark, sf_dir)
+    return forms.groupBy("source_table", "field_name").agg(
+        F.count("canonical").alias("held"), F.count_if(~garbling.not_ascii("value") & (F.col("value") != F.col("canonical"))).alias("ascii_changed")
+    )
+
+
 _COUNTED = ["search_name", "extension"]
 _LEAST_SHARE = 0.005
 
@@ -78,6 +96,16 @@ def p3_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heavy_hitters.top(_table(spark, sf_dir, "files"), _COUNTED, 20)
 
 
+def p3_intervals_hold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All items above the share with their exact counts and whether the interval from lossy counting holds them."""
+    files = _table(spark, sf_dir, "files")
+    candidates = heavy_hitters.frequent(files, _COUNTED, _LEAST_SHARE)
+    exact = heavy_hitters.exactly(files, _COUNTED, candidates, _LEAST_SHARE)
+    # at most 1 / (share - epsilon) rows a field on both sides
+    both = exact.join(candidates, ["field_name", "item"])
+    return both.select("field_name", "item", "n", ((F.col("count_low") <= F.col("n")) & (F.col("n") <= F.col("count_high"))).alias("held"))
+
+
 def p4_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return percentiles.percentiles(percentiles.summary(_table(spark, sf_dir, "files"), "size", ["media", "extension"]))
 
@@ -138,6 +166,21 @@ def p7_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containers.filling(_packed(spark, sf_dir), _table(spark, sf_dir, "containers"))
 
 
+def p7_settled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each kind of container with the documents in it, those whose pieces do not add up, and the containers that hold too much."""
+    # tokens are counted once
+    items = shared_table(byte_bpe.count_tokens(_table(spark, sf_dir, "documents"), "text", ["doc_id"]), "items")
+    kinds = _table(spark, sf_dir, "containers")
+    packed = shared_table(containers.pack(spark, items, kinds), "packed")
+    pieces = packed.filter("tokens > 0").groupBy("container_kind", "doc_id").agg(F.sum("tokens").alias("in_pieces"))
+    of_docs = pieces.join(items.select("doc_id", F.col("tokens").alias("whole")), "doc_id").groupBy("container_kind").agg(
+        F.count("*").alias("documents"), F.count_if(F.col("in_pieces") != F.col("whole")).alias("torn")
+    )
+    loads = packed.filter("container_id IS NOT NULL").groupBy("container_kind", "container_id").agg(F.sum("tokens").alias("load"))
+    full = loads.join(F.broadcast(kinds), "container_kind").groupBy("container_kind").agg(F.count_if(F.col("load") > F.col("capacity_tokens")).alias("too_full"))
+    return of_docs.join(full, "container_kind")
+
+
 def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subjects.subject_areas(spark, *[_table(spark, sf_dir, t) for t in ("documents", "subjects", "subject_labels")])
 
@@ -154,8 +197,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
-            p1_found, p1_restored, p2_found, p2_canonical, p3_found, p3_intervals, p4_percentiles, p4_combined, p5_found, p5_records,
-            p6_ids, p7_containers, p7_filling, p8_found, p8_composition,
+            p1_found, p1_restored, p1_settled, p2_found, p2_canonical, p2_settled, p3_found, p3_intervals, p3_intervals_hold, p4_percentiles, p4_combined, p5_found, p5_records,
+            p6_ids, p7_containers, p7_filling, p7_settled, p8_found, p8_composition,
         )
     }
 
@@ -179,8 +222,32 @@ SELECT field_name, group_value, p, n,
 FROM placed JOIN ps ON rk = greatest(1, ceil(p * n))"""
 
 
+# Texts are told apart by ending, letters and numbers: what the operator says where no text is an anagram of another and no
+# number is glued or taken apart, as in the test tables.
+_P5_SQL = r"""
+WITH r AS (
+  SELECT 'files' AS source_table, id, concat_ws(chr(1), album_id, size) AS scope, lower(search_name) AS low, regexp_extract(lower(search_name), '\.([a-z0-9]{1,5})$', 1) AS ending
+  FROM files WHERE album_id IS NOT NULL AND size IS NOT NULL AND search_name <> ''
+  UNION ALL SELECT 'albums', id, '', lower(title), '' FROM albums WHERE title <> ''),
+t AS (SELECT source_table, id, scope, ending, low, CASE WHEN ending <> '' THEN left(low, length(low) - length(ending) - 1) ELSE low END AS stem FROM r),
+k AS (
+  SELECT source_table, id, concat_ws(chr(1), scope, ending, array_to_string(list_sort(regexp_extract_all(stem, '\p{N}+')), ' '),
+    CASE WHEN regexp_matches(stem, '[^\p{P}\p{Z}\p{C}\s+~|^=<>$`´¨]')
+      THEN array_to_string(list_sort(string_split(regexp_replace(stem, '[\p{N}\p{P}\p{Z}\p{C}\s+~|^=<>$`´¨]+', '', 'g'), '')), '') ELSE low END) AS key
+  FROM t),
+f AS (SELECT source_table, id, min(id) OVER (PARTITION BY source_table, key) AS first_id, count(*) OVER (PARTITION BY source_table, key) AS copies FROM k)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     by_field = " UNION ALL ".join(
         f"SELECT '{c}' AS field_name, {c} AS item FROM files WHERE {c} <> '' GROUP BY {c} HAVING count(*) >= 0.005 * (SELECT count(*) FROM files)" for c in _COUNTED
     )
-    return {"p3_found": by_field, "p4_percentiles": _p4_sql(), "p4_combined": _p4_sql()}
+    of_fields = lambda fields, extra: " UNION ALL ".join(f"SELECT '{t}' AS source_table, '{c}' AS field_name, count({c}) AS held, 0::BIGINT AS {extra} FROM {t}" for t, c in fields)
+    return {
+        "p1_settled": of_fields(_NAMED, "found_again"), "p2_settled": of_fields(_SEARCHED, "ascii_changed"), "p3_found": by_field,
+        "p3_intervals_hold": by_field.replace(" AS item", " AS item, count(*) AS n, true AS held"), "p4_percentiles": _p4_sql(), "p4_combined": _p4_sql(),
+        "p5_found": f"{_P5_SQL} SELECT source_table, first_id, id AS copy_id FROM f WHERE id > first_id",
+        "p5_records": f"{_P5_SQL} SELECT source_table, first_id, copies FROM f WHERE id = first_id",
+        "p7_settled": "SELECT container_kind, (SELECT count(*) FROM documents WHERE text <> '') AS documents, 0::BIGINT AS torn, 0::BIGINT AS too_full FROM containers",
+    }

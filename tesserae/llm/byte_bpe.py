@@ -28,6 +28,8 @@ DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 SLICE_BYTES = 1 << 20
 #: Words that a worker remembers; beyond it starts anew (a bound on memory, not on what is encoded).
 REMEMBERED_WORDS = 300_000
+#: Symbols of a long word that are looked at together; a word of more than two stretches is worked on by itself.
+STRETCH = 256
 _LETTER, _NUMBER, _SPACE, _OTHER = 0, 1, 2, 3
 _NO_RANK = np.int64(1 << 40)
 
@@ -133,6 +135,60 @@ def word_starts(data: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
     return at[start]
 
 
+def _ranks(left: np.ndarray, right: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
+    """The rank of each pair of symbols, by binary search over the sorted pair keys."""
+    key = left << 20 | right
+    slot = np.minimum(np.searchsorted(vocabulary.keys, key), len(vocabulary.keys) - 1)
+    return np.where(vocabulary.keys[slot] == key, vocabulary.ranks[slot], _NO_RANK)
+
+
+def _every_second(at: np.ndarray, joined: np.ndarray) -> np.ndarray:
+    """Of hits in a row (``joined``: a hit overlaps the one before it) every second one, from the left."""
+    if not joined.any():
+        return at
+    row = np.concatenate(([True], ~joined))
+    row_start = np.maximum.accumulate(np.where(row, np.arange(len(at)), 0))
+    return at[(np.arange(len(at)) - row_start) % 2 == 0]
+
+
+def merge_stretches(symbols: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
+    """The ids of one long word: rounds that touch only the stretches with the lowest-ranked pair.
+
+    The lowest rank of each stretch is kept; a round looks at those of all
+    stretches and, in those that hold the lowest of all, merges it and finds
+    the ranks of the pairs beside it anew.
+    """
+    n = len(symbols)
+    stretches = -(-n // STRETCH)
+    flat = symbols.astype(np.int64)
+    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+    ranks = np.full(stretches * STRETCH, _NO_RANK)
+    ranks[: n - 1] = _ranks(flat[:-1], flat[1:], vocabulary)
+    by_stretch = ranks.reshape(stretches, STRETCH)
+    lowest = by_stretch.min(axis=1)
+    alive = np.ones(n, dtype=bool)
+    while (low := lowest.min()) != _NO_RANK:
+        (holding,) = np.nonzero(lowest == low)
+        row, column = np.nonzero(by_stretch[holding] == low)
+        at = holding[row] * STRETCH + column
+        at = _every_second(at, after[at[:-1]] == at[1:])
+        gone = after[at]
+        alive[gone] = False
+        ranks[gone] = _NO_RANK
+        flat[at] = vocabulary.by_rank[low]
+        after[at] = after[gone]
+        next_ = after[at]
+        inside = next_ < n
+        before[next_[inside]] = at[inside]
+        left = before[at]
+        changed = np.concatenate((at, left[left >= 0]))
+        right = after[changed]
+        ranks[changed] = np.where(right < n, _ranks(flat[changed], flat[np.minimum(right, n - 1)], vocabulary), _NO_RANK)
+        touched = np.unique(np.concatenate((changed, gone)) // STRETCH)
+        lowest[touched] = by_stretch[touched].min(axis=1)
+    return flat[alive].astype(np.int32)
+
+
 def merge_rounds(symbols: np.ndarray, lengths: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """(ids, lengths) of words given as one flat array of byte ids and their lengths."""
     n_words = len(lengths)
@@ -140,16 +196,21 @@ def merge_rounds(symbols: np.ndarray, lengths: np.ndarray, vocabulary: Vocabular
     done_word: list[np.ndarray] = []
     word = np.repeat(np.arange(n_words), lengths)
     flat = symbols.astype(np.int64)
+    long = lengths > 2 * STRETCH
+    if long.any():
+        ends = np.cumsum(lengths)
+        for w in np.flatnonzero(long):
+            done_ids.append(merge_stretches(symbols[ends[w] - lengths[w] : ends[w]], vocabulary).astype(np.int64))
+            done_word.append(np.full(len(done_ids[-1]), w))
+        short = ~long[word]
+        flat, word = flat[short], word[short]
     while len(flat):
         same = np.empty(len(flat), dtype=bool)
         same[:-1] = word[1:] == word[:-1]
         same[-1] = False
         rank = np.full(len(flat), _NO_RANK)
         (left,) = np.nonzero(same)
-        key = flat[left] << 20 | flat[left + 1]
-        slot = np.minimum(np.searchsorted(vocabulary.keys, key), len(vocabulary.keys) - 1)
-        known = vocabulary.keys[slot] == key
-        rank[left[known]] = vocabulary.ranks[slot[known]]
+        rank[left] = _ranks(flat[left], flat[left + 1], vocabulary)
         begins = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
         sizes = np.diff(np.append(begins, len(flat)))
         lowest = np.minimum.reduceat(rank, begins)
@@ -165,11 +226,7 @@ def merge_rounds(symbols: np.ndarray, lengths: np.ndarray, vocabulary: Vocabular
             lowest, sizes = lowest[~finished], sizes[~finished]
         hit = rank == np.repeat(lowest, sizes)
         (at,) = np.nonzero(hit)
-        # overlapping hits (a a a): every second one of a row of neighbours, from the left
-        if (np.diff(at) == 1).any():
-            row = np.concatenate(([True], np.diff(at) != 1))
-            row_start = np.maximum.accumulate(np.where(row, np.arange(len(at)), 0))
-            at = at[(np.arange(len(at)) - row_start) % 2 == 0]
+        at = _every_second(at, np.diff(at) == 1)
         flat[at] = vocabulary.by_rank[rank[at]]
         keep = np.ones(len(flat), dtype=bool)
         keep[at + 1] = False

@@ -240,3 +240,24 @@ def test_a_full_sketch_isolates_alike(mixed):
     assert all(full.suspect(g) for g in GARBLED)
     assert [G.Repairer(full).value(g) for g in GARBLED] == [G.Repairer(sound).value(g) for g in GARBLED]
     assert [G.Repairer(full).value(w) for w in WORDS] == [None] * len(WORDS)
+
+
+def test_long_words_in_stretches(monkeypatch):
+    import random
+    import time
+
+    import numpy as np
+
+    vocabulary, rng = B.Vocabulary(), random.Random(9)
+    words = ["a" * 700, "ab" * 500, "".join(rng.choice("etaoinshr") for _ in range(3000)), "".join(rng.choice("aab") for _ in range(2000))]
+    symbols = [vocabulary.byte_ids[np.frombuffer(w.encode(), np.uint8)] for w in words]
+    lengths = np.array([len(s) for s in symbols])
+    ids, counts = B.merge_rounds(np.concatenate(symbols), lengths, vocabulary)
+    monkeypatch.setattr(B, "STRETCH", 1 << 20)  # all of them in common rounds
+    plain, plain_counts = B.merge_rounds(np.concatenate(symbols), lengths, vocabulary)
+    assert ids.tolist() == plain.tolist() and counts.tolist() == plain_counts.tolist()
+    monkeypatch.undo()
+    began = time.perf_counter()
+    many = vocabulary.byte_ids[np.frombuffer("".join(rng.choice("etaoinshrdlu") for _ in range(100_000)).encode(), np.uint8)]
+    B.merge_stretches(many, vocabulary)
+    assert time.perf_counter() - began < 10

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions.scalars import album_id
 from .operators import state
+from .operators.migrate import migrate
 from .service import Options, Service
 from .sources.schema import ALBUM_KEY
 from .streaming import ingest
@@ -54,6 +55,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     spark = spark or SparkSession.builder.appName("tesserae").getOrCreate()
     service = Service(spark, Options.from_environment(a.root, os.environ))
     service.catalog.create()
+    migrate(service.catalog)
     now = datetime.now(UTC).strftime("%Y-%m-%d %H:%M:%S")
     if a.command in ("discover", "ingest"):
         schema, commit = (_CARDS, ingest.commit_cards(service.catalog)) if a.command == "discover" else (_PAGES, ingest.commit_pages(service.catalog))

@@ -114,6 +114,22 @@ _add(
 )
 
 
+def _walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three pages of a search, each from the cursor of the one before (an offset counts only without one); what each says of its total and of more."""
+    files, albums = _t(spark, sf_dir, "files"), _t(spark, sf_dir, "albums")
+    cursor, rows = None, []
+    for page in range(3):
+        found = search.search_files(files, albums, "harbor", sort="oldest", limit=20, offset=7, cursor=cursor)
+        rows += [(page, pos, r["id"], found["total"], found["has_more"]) for pos, r in enumerate(found["results"])]
+        cursor = found["next_cursor"]
+    return spark.createDataFrame(rows, "page int, pos int, id long, total long, has_more boolean")
+
+
+_QUERIES["files_cursor_walk"] = _walk
+_SQL["files_cursor_walk"] = f"""WITH h AS (SELECT id, album_id, row_number() OVER (ORDER BY {_SQL_ORDER['oldest']}) - 8 AS n, count(*) OVER () AS total FROM files WHERE {_sql_any('harbor')})
+SELECT (n // 20)::INT AS page, (n % 20)::INT AS pos, id, total, total - 8 >= (n // 20 + 1) * 20 AS has_more FROM h WHERE n >= 0 AND n < 60"""
+
+
 def _grouped(files: DataFrame, albums: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
@@ -162,7 +178,7 @@ _albums("albums_prefix", lambda a, f: search.title_prefix(a, f, "Ve"), f"starts_
 _ELIGIBLE = f"a.dead = 0 AND a.indexed_at IS NOT NULL AND EXISTS (SELECT 1 FROM files f WHERE f.album_id = a.{ALBUM_KEY})"
 _albums("album_first_ge_id", lambda a, f: search.first_from(a, f, 200), f"a.id >= 200 AND {_ELIGIBLE}", "a.id", 1)
 _add("albums_eligible", lambda a, f: search.eligible(a, f).select("id"), ("albums", "files"), f"SELECT a.id FROM albums a WHERE {_ELIGIBLE}")
-_add("random_album", search.random_album, ("albums", "files"))
+_add("random_album", lambda a, f: search.random_album(a, f).join(search.eligible(a, f).select("id"), "id", "left_semi").agg(F.count("*").alias("eligible_found")), ("albums", "files"), f"SELECT least(count(*), 1)::BIGINT AS eligible_found FROM albums a WHERE {_ELIGIBLE}")
 _add("albums_real_files", lambda a, f: search.real_files(a, f).select("id", "real_files"), ("albums", "files"), f"SELECT a.id, count(f.id) AS real_files FROM albums a LEFT JOIN files f ON f.album_id = a.{ALBUM_KEY} GROUP BY a.id")
 _add(
     "albums_browsable", lambda a, f: search.real_files(search.living(a, True), f).filter("real_files > 0").select("id", "real_files"), ("albums", "files"),

@@ -105,3 +105,22 @@ def test_sync(spark, tmp_path, catalog):
     calls = []
     ingest.sync_every(lambda: calls.append(1) or 1 / 0, 2, 3, lambda: next(clock), slept.append)
     assert len(calls) == 3 and slept == [7140.0, 0.0]
+
+
+def test_migration(spark, catalog):
+    from tesserae.operators.migrate import migrate
+
+    assert not migrate(catalog)
+    # a store of the first version: no mark, files without their extension
+    spark.createDataFrame([(1, "A", 7, "x.PNG")], "id long, album_id string, file_id long, search_name string").write.parquet(f"{catalog.root}/files/v-old")
+    number, content = catalog.pointers.latest()
+    catalog.commit({"meta": meta(spark, ("page_cursor", "3"))})
+    number, content = catalog.pointers.latest()
+    content["tables"]["files"] = "files/v-old"
+    catalog.pointers.publish(content, number)
+    assert migrate(catalog) and not migrate(catalog)
+    assert catalog.read("files").first()["extension"] == "png"
+    assert {r["key"]: r["value"] for r in catalog.read("meta").collect()} == {"page_cursor": "3", "schema_version": "3", "extension_backfill": "done"}
+    catalog.commit({"meta": meta(spark, ("schema_version", "9"))})
+    with pytest.raises(RuntimeError, match="schema 9"):
+        migrate(catalog)

@@ -16,6 +16,7 @@ row, further columns of the input are left out.
 
 from __future__ import annotations
 
+import itertools
 import unicodedata
 from collections.abc import Iterable, Iterator
 
@@ -76,12 +77,16 @@ def _cls(characters: Iterable[str]) -> str:
     return "".join(f"\\x{{{ord(c):x}}}" for c in characters)
 
 
+# Blocks that hold spaces, format characters, styled forms or letters with a mark; the rest are ideographs, syllables and unassigned.
+_BLOCKS = (range(0x80, 0x3400), range(0xA000, 0xAC00), range(0xF900, 0x20000), range(0xE0000, 0xE0200))
+
+
 def _tables() -> tuple[dict[str, str], str, dict[str, str], dict[str, str]]:
     """(plain form of styled characters and spaces, invisible characters, look-alike to Latin with accents, letter and mark to letter)."""
     plain: dict[str, str] = {}
     invisible: list[str] = []
     latin, composed = dict(LOOKS_LATIN), {}
-    for code in range(0x80, 0xF0000):
+    for code in itertools.chain(*_BLOCKS):
         c = chr(code)
         category = unicodedata.category(c)
         if category == "Zs":
@@ -133,6 +138,18 @@ _STANDS_IN = (
 )
 
 
+# What a look at a value's characters must find before anything else is done, in ranges: format characters, marks, spaces and styled
+# forms; blocks with look-alikes; and in these, two adjacent letters of which one is in the block and the other is not.
+_BLOCKS_WITH = ("\\x{370}-\\x{3ff}\\x{1f00}-\\x{1fff}", "\\x{400}-\\x{52f}", "\\x{531}-\\x{58f}", "\\x{13a0}-\\x{13ff}\\x{ab70}-\\x{abbf}")
+_LATIN_LOOKS = "\\x{131}\\x{1c0}\\x{250}-\\x{2af}\\x{1d00}-\\x{1d7f}\\x{a730}-\\x{a731}"
+_HIDDEN = f"[\\p{{Cf}}{_SELECTORS}{_cls(_FILLERS)}]"
+_DRESSED = (
+    f"[\\p{{Cf}}\\p{{Mn}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{202f}}\\x{{205f}}\\x{{3000}}\\x{{ff01}}-\\x{{ff5e}}\\x{{2100}}-\\x{{214f}}\\x{{24b6}}-\\x{{24e9}}\\x{{1d400}}-\\x{{1d7ff}}\\x{{1f130}}-\\x{{1f149}}{_cls(_FILLERS)}]"
+)
+_IN_BLOCKS = f"[{''.join(_BLOCKS_WITH)}{_LATIN_LOOKS}]"
+_MEETING = "|".join(f"[{b}][\\p{{L}}&&[^{b}]]|(?<=[\\p{{L}}{_WIDE}&&[^{b}]])[{b}]" for b in _BLOCKS_WITH) + f"|[{_LATIN_LOOKS}]"
+
+
 def _composed(text: Column) -> Column:
     """Letters with a mark that they have a composed form with; only clusters that hold a mark are looked at."""
     # folded to one constant
@@ -155,10 +172,13 @@ def _latin_words(text: Column) -> Column:
 
 def mapped(value: Column) -> Column:
     """The look-alike-mapped form of a value; the value itself where it holds no case."""
-    marks, looks = value.rlike(r"\p{Mn}"), value.rlike(f"[{_LOOKING}]")
-    styled = F.translate(F.regexp_replace(value, _IDLE, ""), "".join(_PLAIN), "".join(_PLAIN.values()))
+    marks, looks = value.rlike(r"\p{Mn}"), value.rlike(_IN_BLOCKS)
+    shown = F.when(value.rlike(_HIDDEN), F.regexp_replace(value, _IDLE, "")).otherwise(value)
+    styled = F.translate(shown, "".join(_PLAIN), "".join(_PLAIN.values()))
     form = F.when(marks & looks, _composed(_latin_words(_composed(styled)))).when(marks, _composed(styled)).when(looks, _latin_words(styled)).otherwise(styled)
-    return F.when(F.octet_length(value) == F.char_length(value), value).otherwise(form)
+    # marks are dressed, so letters that meet across one are not looked for
+    suspect = value.rlike(_DRESSED) | (looks & value.rlike(_MEETING))
+    return F.when((F.octet_length(value) == F.char_length(value)) | ~suspect, value).otherwise(form)
 
 
 # --------------------------------------------------------------------------- on DataFrames
@@ -183,21 +203,36 @@ def _written_so(spark: SparkSession, changed: DataFrame, counts: PairCounts) ->
     return changed.mapInArrow(run, changed.schema)
 
 
+def _class_key(text: Column) -> list[Column]:
+    """128 bits of the collation's sort key: equal for texts that it holds equal.
+
+    The sort key is hashed, so grouping compares numbers and not texts.
+    """
+    spark = SparkSession.active()
+    utils = spark._jvm.org.apache.spark.sql.classic.ExpressionUtils
+    collated = utils.expression(F.collate(text, COLLATION)._jc)
+    key = type(text)(utils.column(spark._jvm.org.apache.spark.sql.catalyst.expressions.CollationKey(collated)))
+    return [F.xxhash64(key).alias("class_1"), F.xxhash64(F.lit(2), key).alias("class_2")]
+
+
+_CLASS = ["class_1", "class_2"]
+
+
 def classes(forms: DataFrame) -> DataFrame:
-    """class, canonical: the equivalence classes of all mapped forms under the collation that hold more than one form.
+    """class_1, class_2, canonical: the equivalence classes of all mapped forms under the collation that hold more than one form.
 
     The canonical member is the shortest form, then the smallest in binary
     order, so what a class ignores (a selector after a symbol, a stretching
     sign) is left out, however often it is written.
     """
-    form = F.struct(F.char_length("mapped").alias("length"), F.col("mapped").alias("form"))
-    held = forms.groupBy(F.collate(F.col("mapped"), COLLATION).alias("class")).agg(F.min(form).alias("least"), F.max(form).alias("most"))
-    return held.filter(F.col("least") != F.col("most")).select("class", F.col("least.form").alias("canonical"))
+    keyed = forms.select(*_class_key(F.col("mapped")), "mapped", F.xxhash64("mapped").alias("form"))
+    held = keyed.groupBy(*_CLASS).agg(F.min(F.struct(F.char_length("mapped").alias("length"), "mapped")).alias("least"), F.min("form").alias("one"), F.max("form").alias("two"))
+    return held.filter("one <> two").select(*_CLASS, F.col("least.mapped").alias("canonical"))
 
 
 def _settled(rows: DataFrame, found: DataFrame) -> DataFrame:
-    joined = rows.join(found, F.collate(F.col("mapped"), COLLATION) == F.col("class"), "left")
-    return joined.withColumn("canonical", F.coalesce("canonical", "mapped")).drop("class")
+    joined = rows.select("*", *_class_key(F.col("mapped"))).join(found, _CLASS, "left")
+    return joined.withColumn("canonical", F.coalesce("canonical", "mapped")).drop(*_CLASS)
 
 
 _COLUMNS = ["source_table", "record_id", "field_name", "value", "canonical"]

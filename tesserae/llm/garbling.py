@@ -491,6 +491,17 @@ class Repairer:
         return ("".join(out) + text[at:], whole) if hit else None
 
 
+_KEPT: tuple[object, Repairer] | None = None
+
+
+def repairer_of(cells: np.ndarray, log_width: int) -> Repairer:
+    """The repairer of broadcast counts: one for all tasks of a worker, so that what it has looked up stays."""
+    global _KEPT
+    if _KEPT is None or _KEPT[0] is not cells:
+        _KEPT = cells, Repairer(PairCounts(cells, log_width))
+    return _KEPT[1]
+
+
 def _split(run: str) -> list[str]:
     parts: list[str] = []
     for c in run:
@@ -546,8 +557,7 @@ def detect(spark: SparkSession, values: DataFrame, counts: PairCounts) -> DataFr
     shared = spark.sparkContext.broadcast((counts.rows, counts.log_width))
 
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, log_width = shared.value
-        repairer = Repairer(PairCounts(rows, log_width))
+        repairer = repairer_of(*shared.value)
         for batch in batches:
             keep, restored, recovered = [], [], []
             for i, text in enumerate(batch.column("value").to_pylist()):

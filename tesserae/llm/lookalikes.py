@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .garbling import PairCounts, Repairer
+from .garbling import PairCounts, repairer_of
 
 # Letters that look like a Latin letter, by script.
 _BY_SCRIPT = {
@@ -194,8 +194,7 @@ def _written_so(spark: SparkSession, changed: DataFrame, counts: PairCounts) ->
     shared = spark.sparkContext.broadcast((counts.rows, counts.log_width))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, log_width = shared.value
-        repairer = Repairer(PairCounts(rows, log_width))
+        repairer = repairer_of(*shared.value)
         for batch in batches:
             sound = [repairer.value(text) is None for text in batch.column("value").to_pylist()]
             yield batch.filter(pa.array(sound, pa.bool_()))

@@ -15,6 +15,7 @@ ordinary text.
 
 from __future__ import annotations
 
+import functools
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
@@ -22,6 +23,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
@@ -58,6 +60,18 @@ class Vocabulary:
         order = np.argsort(keys)
         self.keys, self.ranks, self.new_ids = keys[order], order.astype(np.int64), new[order]
         self.by_rank = new
+        # what each id stands for: its bytes in one pool
+        spelt = sorted((i, bytes(letters[c] for c in word)) for word, i in ids.items() if all(c in letters for c in word))
+        self.piece_size = np.zeros(max(ids.values()) + 1, np.int64)
+        self.piece_size[[i for i, _ in spelt]] = [len(b) for _, b in spelt]
+        self.piece_at = np.cumsum(self.piece_size) - self.piece_size
+        self.pieces = np.frombuffer(b"".join(b for _, b in spelt), np.uint8)
+
+    def decode(self, ids: np.ndarray, counts: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """(bytes of all texts one after the other, where each of them ends) of flat ids and the number of ids of each text."""
+        sizes = self.piece_size[ids]
+        ends = np.concatenate(([0], np.cumsum(sizes)))[np.cumsum(counts)]
+        return self.pieces[_gather(self.piece_at[ids], sizes)].tobytes(), ends
 
 
 _CLASSES: np.ndarray | None = None
@@ -346,6 +360,12 @@ class Encoder:
             at = end
 
 
+@functools.lru_cache(maxsize=2)
+def encoder_of(path: str) -> Encoder:
+    """The encoder of a vocabulary: one for all tasks of a worker, so that the words it has met stay."""
+    return Encoder(path)
+
+
 def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     offsets = np.frombuffer(texts.buffers()[1], np.int64 if pa.types.is_large_string(texts.type) else np.int32)
     offsets = offsets[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
@@ -363,7 +383,7 @@ def encode(df: DataFrame, text: str, keys: list[str], path: str = DEFAULT_VOCABU
     """``keys`` and the token ids of ``text``; no shuffle."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         for batch in batches:
             column = _filled(batch.column(batch.num_columns - 1))
             for at, end in encoder.slices(column):
@@ -382,7 +402,7 @@ def count_tokens(df: DataFrame, text: str, keys: list[str], path: str = DEFAULT_
     """``keys`` and the number of token ids of ``text``; no shuffle."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         for batch in batches:
             column = _filled(batch.column(batch.num_columns - 1))
             counts = [encoder.slice(column.slice(at, end - at), only_counts=True)[1] for at, end in encoder.slices(column)]
@@ -392,3 +412,21 @@ def count_tokens(df: DataFrame, text: str, keys: list[str], path: str = DEFAULT_
     chosen = df.select(*keys, df[text])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema[: len(keys)])
     return chosen.mapInArrow(run, f"{schema}, `{name}` long")
+
+
+def decode(df: DataFrame, ids: str, keys: list[str], path: str = DEFAULT_VOCABULARY, name: str = "text") -> DataFrame:
+    """``keys`` and the text whose ids (a list) are given: the reverse of :func:`encode`, '' for no ids; no shuffle."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = encoder_of(path).vocabulary
+        for batch in batches:
+            lists = batch.column(batch.num_columns - 1)
+            counts = np.array([n or 0 for n in pc.list_value_length(lists).to_pylist()], np.int64)
+            data, ends = vocabulary.decode(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), counts)
+            begins = np.concatenate(([0], ends[:-1])) if len(ends) else ends
+            texts = [data[a:b].decode("utf-8", "replace") for a, b in zip(begins, ends, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*keys, name])
+
+    chosen = df.select(*keys, df[ids])
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema[: len(keys)])
+    return chosen.mapInArrow(run, f"{schema}, `{name}` string")

@@ -153,6 +153,11 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(_table(spark, sf_dir, "documents"), "text", ["doc_id"])
 
 
+def p6_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with a digest of the text that its ids give back."""
+    return byte_bpe.decode(p6_ids(spark, sf_dir), "ids", ["doc_id"]).select("doc_id", F.md5("text").alias("digest"))
+
+
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = shared_table(byte_bpe.count_tokens(_table(spark, sf_dir, "documents"), "text", ["doc_id"]), "items")
     return containers.pack(spark, items, _table(spark, sf_dir, "containers"))
@@ -198,7 +203,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             p1_found, p1_restored, p1_settled, p2_found, p2_canonical, p2_settled, p3_found, p3_intervals, p3_intervals_hold, p4_percentiles, p4_combined, p5_found, p5_records,
-            p6_ids, p7_containers, p7_filling, p7_settled, p8_found, p8_composition,
+            p6_ids, p6_round_trip, p7_containers, p7_filling, p7_settled, p8_found, p8_composition,
         )
     }
 
@@ -249,5 +254,6 @@ def oracle_sql() -> dict[str, str]:
         "p3_intervals_hold": by_field.replace(" AS item", " AS item, count(*) AS n, true AS held"), "p4_percentiles": _p4_sql(), "p4_combined": _p4_sql(),
         "p5_found": f"{_P5_SQL} SELECT source_table, first_id, id AS copy_id FROM f WHERE id > first_id",
         "p5_records": f"{_P5_SQL} SELECT source_table, first_id, copies FROM f WHERE id = first_id",
+        "p6_round_trip": "SELECT doc_id, md5(coalesce(text, '')) AS digest FROM documents",
         "p7_settled": "SELECT container_kind, (SELECT count(*) FROM documents WHERE text <> '') AS documents, 0::BIGINT AS torn, 0::BIGINT AS too_full FROM containers",
     }

@@ -13,14 +13,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import trigrams
+from ..functions.scalars import fold, trigrams
 from ..plans import language as L
-from .search import file_hits, with_folded
+from .search import file_hits
 
 LEADS = 64
 BUCKETS = 256
 
 
+def with_folded(files: DataFrame) -> DataFrame:
+    """Files with what the search compares by: all their names folded in one text, and the name that a prefix is sought in."""
+    return files.withColumns({L.NAMES: fold(L.names_of()), L.LEADING: fold("search_name")})
+
+
 def postings(files: DataFrame, columns: tuple[str, ...] = L.SEARCHED) -> DataFrame:
     """lead, gram, bucket, id: which files hold a trigram in one of their names.
 

@@ -8,7 +8,6 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import fold
 from ..plans import language as L
 from ..sources.schema import ALBUM_KEY
 
@@ -18,26 +17,15 @@ BROADCAST_ROWS = 10_000
 FILE_COLUMNS = ["id", "album_id", "file_id", "search_name", "storage", "slug", "mime", "media", "extension", "size", "uploaded_at"]
 
 
-def with_folded(files: DataFrame) -> DataFrame:
-    """Files with what the search compares by: all their names folded in one text, and the name that a prefix is sought in.
-
-    A table stored by :func:`index.write` holds both, sorted by the second,
-    so that a prefix reads only the row groups that can hold it.
-    """
-    missing = {L.NAMES: L.names_of(L.SEARCHED), L.LEADING: fold("search_name")}
-    return files.withColumns({c: e for c, e in missing.items() if c not in files.columns})
-
-
 def file_hits(files: DataFrame, q: str = "", media: str | None = None, extension: str | None = None, columns: list[str] | None = None) -> DataFrame:
     """All files that a query and its filters admit, without order (pruned to ``columns``)."""
     mode = L.mode_of(q)
     wanted = [c for c in (L.media_filter(media), L.extension_filter(extension)) if c is not None]
+    stored = {L.NAMES, L.LEADING} <= set(files.columns)
     if mode == "fts":
-        files = with_folded(files)
-        wanted.append(L.matches(q))
+        wanted.append(L.matches(q, stored))
     elif mode == "prefix":
-        files = with_folded(files)
-        wanted.append(L.starts(q))
+        wanted.append(L.starts(q, stored=stored))
     hits = files.filter(reduce(lambda a, b: a & b, wanted)) if wanted else files
     return hits.select(*(columns or FILE_COLUMNS))
 
@@ -139,7 +127,7 @@ def listed(albums: DataFrame, files: DataFrame, limit: int = 20, offset: int = 0
 
 
 def title_prefix(albums: DataFrame, files: DataFrame, q: str, limit: int = 20, offset: int = 0) -> DataFrame:
-    return _page(albums.filter(F.startswith(fold("title"), F.lit(L.folded(q.strip())))).select(*_shown(albums)), [F.asc("title"), F.asc("id")], limit, offset, files)
+    return _page(albums.filter(L.starts(q, "title")).select(*_shown(albums)), [F.asc("title"), F.asc("id")], limit, offset, files)
 
 
 def title_hits(albums: DataFrame, q: str) -> DataFrame:

@@ -32,11 +32,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder name in the shared folder; what is written there goes when the application ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    fs, at = _located(spark, path)
-    fs.deleteOnExit(at)
-    return path
+    """A new name in this application's folder of the shared folder, which goes when the application ends."""
+    folder = f"{shared_dir(spark)}/tesserae-{spark.sparkContext.applicationId}"
+    fs, at = _located(spark, folder)
+    if not fs.exists(at):
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
 def shared_table(df: DataFrame, name: str) -> DataFrame:

@@ -74,6 +74,8 @@ SEQUENCE_BITS = {2: 3.0, 3: 24.0, 4: 24.0}
 PUNCTUATION_BITS = 44.0
 #: Share of known pairs that a text restored by other mappings than UTF-8 needs.
 KNOWN_SHARE = 0.7
+#: Longer words and runs are worked out each time.
+REMEMBERED_LENGTH = 64
 _SEPARATORS = frozenset(" _-.,()")
 _INVISIBLE = frozenset(" ­   　​‌‍⁠﻿")
 
@@ -226,7 +228,9 @@ class PairCounts:
         return [(start, end + 1) for start, end in segments(scores)]
 
     def suspect(self, word: str) -> bool:
-        """Whether a word holds an improbable run; remembers a bounded number of words."""
+        """Whether a word holds an improbable run; remembers a bounded number of short words."""
+        if len(word) > REMEMBERED_LENGTH:
+            return "�" in word or bool(self.improbable(word))
         if (known := self.words.get(word)) is None:
             if len(self.words) >= 200_000:
                 self.words.clear()
@@ -324,21 +328,23 @@ def _utf8_spans(word: str) -> Iterator[tuple[int, int, str]]:
 
 def segments(scores: list[float]) -> list[tuple[int, int]]:
     """All maximal scoring segments [start, end) of a sequence, in linear time (Ruzzo and Tompa, 1999)."""
-    stack: list[list[float]] = []  # start, end, sum before, sum up to and including
+    stack: list[tuple[int, int, float, float, int]] = []  # start, end, sum before, sum up to and including, the nearest one below that began lower
     total = 0.0
     for i, score in enumerate(scores):
         before, total = total, total + score
         if score <= 0:
             continue
-        item = [i, i + 1, before, total]
+        start, low, j = i, before, len(stack) - 1
         while True:
-            j = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][2] < item[2]), -1)
-            if j < 0 or stack[j][3] >= item[3]:
-                stack.append(item)
+            while j >= 0 and stack[j][2] >= low:
+                j = stack[j][4]
+            if j < 0 or stack[j][3] >= total:
                 break
-            item = [stack[j][0], item[1], stack[j][2], item[3]]
+            start, low = stack[j][0], stack[j][2]
             del stack[j:]
-    return [(int(a), int(b)) for a, b, _, _ in stack]
+            j = len(stack) - 1
+        stack.append((start, i + 1, low, total, j))
+    return [(start, end) for start, end, *_ in stack]
 
 
 _WORD = re.compile("[^ _.,()-]+")
@@ -460,6 +466,8 @@ class Repairer:
         self.counts, self.remembered, self.seen = counts, remembered, {}
 
     def run(self, run: str) -> tuple[str, bool] | None:
+        if len(run) > REMEMBERED_LENGTH:
+            return self._run(run)
         if run not in self.seen:
             if len(self.seen) >= self.remembered:
                 self.seen.clear()

@@ -275,3 +275,18 @@ def test_terms():
     assert len(S.terms("Ausfallwahrscheinlichkeit")) == 1 and len(S.terms("x" * 50)) == 1 and len(S.terms("KI in 3 R")) == 3
     assert S.terms("a\\nb \\u00e4rzte")[-1] == S.terms("ärzte")[0] and S.terms("").tolist() == []
     assert len(S.terms("iVBOR" + "Ab1" * 500)) == 0
+
+
+def test_long_texts_of_one_key_are_told_apart_in_time():
+    import time
+
+    began = time.perf_counter()
+    words = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)]
+    plain, other = [*words, "listen"], [*words, "silent"]
+    spelt = lambda w: ". " + " ".join(sorted(w))
+    assert not D.same_text(spelt(plain), spelt(other))
+    assert D.same_text(spelt(plain), spelt([*words[:50], "".join(words[50:54]), words[55] + words[54], *words[56:], "listen"]))
+    many = [f"{chr(97 + i % 26)}{i // 26}".translate(str.maketrans("0123456789", "klmnopqrst")) + "x" * (i % 7) for i in range(1500)]
+    assert D.same_text(spelt(many), spelt([*many[2:], many[1] + many[0]]))
+    assert D.same_text(". " + "a" * 300_000 + " b", ". " + "a" * 100_000 + " " + "a" * 200_000 + "b")
+    assert time.perf_counter() - began < 20

@@ -261,3 +261,13 @@ def test_long_words_in_stretches(monkeypatch):
     many = vocabulary.byte_ids[np.frombuffer("".join(rng.choice("etaoinshrdlu") for _ in range(100_000)).encode(), np.uint8)]
     B.merge_stretches(many, vocabulary)
     assert time.perf_counter() - began < 10
+
+
+def test_segments_in_linear_time():
+    import time
+
+    began = time.perf_counter()
+    assert len(G.segments([1.0, -2.0] * 200_000)) == 200_000
+    assert G.segments([1.0, -0.5] * 200_000) == [(0, 399_999)]
+    assert len(G.segments([-1.0 if i % 3 else 1.5 for i in range(300_000)])) == 100_000
+    assert time.perf_counter() - began < 5

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from ..functions.storage import shared_table
 
-COLUMNS = 1 << 15  # hashed terms; 0 is the end of a sentence
+COLUMNS = 1 << 15  # hashed terms, from 1 on
 BACKGROUND = 6
 ROUNDS = 3
 LABEL_BOUND = 20_000
@@ -51,9 +51,8 @@ _GROUP = 64  # partitions whose arrays are added up before they meet all others
 _SMOOTH = 1e-3
 _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})")
 _NOISE = re.compile(r"[A-Za-z0-9+/=]{60,}")
-_END = b"\x00"
 _NO_TERM = 0xFFFF
-_BLANKS = bytes(b if b >= 0x80 or chr(b).isalpha() or b == 0 else 0x20 for b in range(256))
+_BLANKS = bytes(b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in range(256))
 
 
 class _Columns(dict):
@@ -61,9 +60,7 @@ class _Columns(dict):
 
     def __missing__(self, spelt: bytes) -> int:
         word = spelt.decode("utf-8", "replace")
-        if spelt == _END:
-            column = 0
-        elif not word.isalpha():
+        if not word.isalpha():
             column = _NO_TERM
         else:
             stem = word[:-1] if len(word) > 4 and word.endswith("s") and not word.endswith("ss") else word
@@ -78,26 +75,30 @@ _COLUMNS_OF = _Columns()
 
 
 def terms(text: str) -> np.ndarray:
-    """The columns of a text's words in order, 0 between sentences and lines."""
+    """The columns of a text's words in order."""
     if max(map(len, text.split()), default=0) >= 60:
         text = _NOISE.sub(" ", text)  # base64 and the like
     if "\\u" in text:
         text = _ESCAPE.sub(lambda m: chr(int(m[1], 16)), text)
-    raw = text.lower().encode("utf-8", "surrogatepass")
-    for end in (b"\\n", b"\n", b". ", b"? ", b"! ", b": ", b"; "):
-        raw = raw.replace(end, b" \x00 ")
+    raw = text.lower().encode("utf-8", "surrogatepass").replace(b"\\n", b" ")
     of = _COLUMNS_OF
     found = np.array([of[w] for w in raw.translate(_BLANKS).split()], np.uint16)
     return found[found != _NO_TERM]
 
 
+def bag(text: str) -> bytes:
+    """A text's different columns and how often it has each."""
+    columns, counts = np.unique(terms(text), return_counts=True)
+    return np.concatenate((columns, np.minimum(counts, 0xFFFF).astype(np.uint16))).tobytes()
+
+
 def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         packed, ids = [], []
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if text and not text.isspace():
                 ids.append(doc_id)
-                packed.append(terms(text).tobytes())
+                packed.append(bag(text))
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "terms"])
 
 
@@ -106,14 +107,11 @@ class Matrix:
 
     def __init__(self, packed: list[bytes], once: bool = False) -> None:
         """once: a word of a document counts once, else a little more for being repeated."""
-        parts = [np.frombuffer(p, np.uint16) for p in packed]
-        lengths = np.array([len(p) for p in parts], dtype=np.int64)
-        self.flat = np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
-        self.doc_of = np.repeat(np.arange(len(parts)), lengths)
-        words = self.flat > 0
-        key, self.count = np.unique(self.doc_of[words] * COLUMNS + self.flat[words], return_counts=True)
-        self.doc, self.column, self.n_docs = key // COLUMNS, key % COLUMNS, len(parts)
-        self.count = (np.ones_like(self.count) if once else 1.0 + np.log(self.count)).astype(np.float32)
+        parts = [np.frombuffer(p, np.uint16).reshape(2, -1) for p in packed]
+        self.n_docs = len(parts)
+        self.doc = np.repeat(np.arange(len(parts)), [p.shape[1] for p in parts])
+        self.column, counts = np.concatenate(parts, axis=1).astype(np.int64) if parts else np.zeros((2, 0), np.int64)
+        self.count = (np.ones(len(counts)) if once else 1.0 + np.log(counts)).astype(np.float32)
 
     def factor(self, h: np.ndarray, allowed: np.ndarray | None, inner: int = _INNER) -> tuple[np.ndarray, np.ndarray]:
         """(W, X / (W H) by entry) after the inner updates, for fixed H with rows that add up to 1."""
@@ -200,7 +198,7 @@ def start(totals: np.ndarray, descriptions: list[str]) -> np.ndarray:
     labelled = totals[:n].copy()
     for k, text in enumerate(descriptions):
         words = terms(text)
-        np.add.at(labelled[k], words[words > 0], 3.0)
+        np.add.at(labelled[k], words, 3.0)
     # each subject as heavy as the next, so that a frequent subject does not claim the words of all
     level = _normal(labelled + 1e-9) * labelled.sum() / n
     seen = labelled.sum(axis=0)
@@ -243,7 +241,7 @@ def bound_of(mass: np.ndarray, labelled: np.ndarray) -> float:
 
 
 def features(documents: DataFrame) -> DataFrame:
-    """doc_id and packed terms of every document with text, written to the shared folder (each later pass reads it)."""
+    """doc_id and bag of terms of every document with text, written to the shared folder (each later pass reads it)."""
     read = documents.select("doc_id", "text").mapInArrow(_read, "doc_id long, terms binary")
     return shared_table(read, "terms")
 

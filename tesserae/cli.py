@@ -1,4 +1,4 @@
-"""Command line over the service: init, discover, ingest, sync, queue, search, albums, add, delete, stats."""
+"""Command line over the service: init, discover, ingest, sync, queue, search, albums, add, delete, stats, serve."""
 
 from __future__ import annotations
 
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .functions.scalars import album_id
 from .operators import state
 from .operators.migrate import migrate
+from .server import serve
 from .service import Options, Service
 from .sources.schema import ALBUM_KEY
 from .streaming import ingest
@@ -43,6 +44,8 @@ def _parser() -> argparse.ArgumentParser:
     s = sub.add_parser("delete")
     s.add_argument("id")
     sub.add_parser("stats")
+    s = sub.add_parser("serve")
+    s.add_argument("--host", default="127.0.0.1"), s.add_argument("--port", type=int, default=8000)
     return p
 
 
@@ -81,6 +84,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     elif a.command == "stats":
         for k, v in json.loads(service.stats()[2]).items():
             print(f"{k:<20} {v}")
+    elif a.command == "serve":
+        serve(service, a.host, a.port).serve_forever()
     elif a.command != "init":
         status, _, body = {
             "search": lambda: service.search(a.q, a.media, a.ext, a.sort, a.page, a.per, a.cursor),

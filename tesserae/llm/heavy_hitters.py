@@ -23,6 +23,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.storage import shared_table
+
 EPSILON = 0.0005
 
 
@@ -89,6 +91,11 @@ def summaries(df: DataFrame, fields: list[str], epsilon: float = EPSILON) -> Dat
     return df.select(*fields).mapInArrow(lambda batches: summarize(batches, epsilon / 2), _SUMMARY)
 
 
+def _kept(df: DataFrame, fields: list[str], epsilon: float) -> DataFrame:
+    """The summaries in the shared folder: merging reads them twice, the rows are counted once."""
+    return shared_table(summaries(df, fields, epsilon), "summaries")
+
+
 def merge(parts: DataFrame, epsilon: float = EPSILON) -> DataFrame:
     """Merged summaries (any number of them, of any slices): field_name, item, count_low, count_high, row_count.
 
@@ -120,7 +127,7 @@ def frequent(df: DataFrame, fields: list[str], share: float, epsilon: float = EP
     """All items whose guaranteed interval reaches ``share`` of the rows: none above it is missing."""
     if not epsilon < share:
         raise ValueError("epsilon must be smaller than share")
-    return merge(summaries(df, fields, epsilon), epsilon).filter(F.col("count_high") >= F.col("row_count") * F.lit(share))
+    return merge(_kept(df, fields, epsilon), epsilon).filter(F.col("count_high") >= F.col("row_count") * F.lit(share))
 
 
 def top(df: DataFrame, fields: list[str], k: int, epsilon: float = EPSILON) -> DataFrame:
@@ -128,7 +135,7 @@ def top(df: DataFrame, fields: list[str], k: int, epsilon: float = EPSILON) -> D
 
     guaranteed: no item outside the k can have occurred more often.
     """
-    merged = merge(summaries(df, fields, epsilon), epsilon)
+    merged = merge(_kept(df, fields, epsilon), epsilon)
     # at most 2 / epsilon rows a field
     best = Window.partitionBy("field_name").orderBy(F.desc("count_low"), "item")
     ranked = merged.withColumn("rank", F.row_number().over(best))

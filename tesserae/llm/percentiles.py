@@ -41,7 +41,7 @@ def cell(value: Column, bits: int = BITS) -> tuple[Column, Column]:
     """(lowest, highest) value of the cell of an integer value; its order is that of the values."""
     magnitude = _magnitude(value)
     low = F.call_function("shiftleft", F.call_function("shiftright", magnitude, _shift(magnitude, bits)), _shift(magnitude, bits))
-    high = low + F.call_function("shiftleft", F.lit(1).cast("long"), _shift(magnitude, bits)) - 1
+    high = low + (F.call_function("shiftleft", F.lit(1).cast("long"), _shift(magnitude, bits)) - 1)
     return F.when(value < 0, -high).otherwise(low), F.when(value < 0, -low).otherwise(high)
 
 

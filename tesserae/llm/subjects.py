@@ -21,7 +21,7 @@ Defined results: null, empty and blank texts have no subject and no row;
 documents without subject words have none; labels of unknown documents or
 subjects are left out, repeated labels count by their annotators; with no
 labels at all the descriptions alone anchor the components and the bound is
-``MASS``.
+``MASS``; without subjects no document has any.
 """
 
 from __future__ import annotations
@@ -276,6 +276,8 @@ def fit(spark: SparkSession, terms_table: DataFrame, subjects: DataFrame, labels
     listed = sorted((r["subject_code"], f"{r['subject_name']} {r['description']}") for r in subjects.collect() if r["subject_code"])
     codes, descriptions = [c for c, _ in listed], [d for _, d in listed]
     n = len(codes)
+    if not n:
+        return Model([], np.zeros((BACKGROUND, COLUMNS)), MASS)
     labelled = _labels(labels, codes, bound)
     known = spark.sparkContext.broadcast(labelled)
 

@@ -74,6 +74,15 @@ def test_percentiles_within_their_bounds(spark):
     assert P.percentiles(P.summary(df.limit(0), "size", ["grp"])).count() == 0
 
 
+def test_percentiles_of_the_extreme_values(spark):
+    values = [-(2**63), -(2**63) + 1, 2**63 - 1, 2**63 - 2, 0]
+    df = spark.createDataFrame([(v, "g") for v in values] + [(None, "g"), (None, "h")], "size long, grp string")
+    got = {r["p"]: r for r in P.percentiles(P.summary(df, "size", ["grp"]), (0.0, 0.5, 1.0)).collect()}
+    assert got[0.5]["value_low"] == got[0.5]["value_high"] == 0 and got[0.5]["n"] == 5
+    assert got[0.0]["value_low"] == -(2**63) + 1 and got[1.0]["value_high"] == 2**63 - 1  # the smallest BIGINT counts as the one above it
+    assert len(got) == 3
+
+
 # --------------------------------------------------------------------------- copies
 
 NAMES = [
@@ -266,6 +275,7 @@ def test_subjects_on_held_out_documents(spark):
     assert len(held_out & want) / len(want) > 0.95 and len(held_out & want) / len(held_out) > 0.95
     assert not {i for i, _ in got} & {900, 901, 902, 903, 904}
     assert S.subject_areas(spark, table.limit(0), subjects, labels).count() == 0
+    assert S.composition(S.subject_areas(spark, table, subjects.limit(0), labels)).count() == 0
     assert S.subject_areas(spark, table, subjects, labels.limit(0)).count() >= 0
     assert S.composition(S.subject_areas(spark, table, subjects, labels)).count() == 3
 

@@ -86,10 +86,13 @@ def base64url(text: str | Column) -> Column:
 
 
 def trigrams(text: str | Column) -> Column:
-    """All overlapping three-character pieces of the lower-case text, in order."""
+    """All overlapping three-character pieces of the lower-case text, in order; in time proportional to its length."""
     low = F.lower(text)
-    n = F.char_length(low)
-    return F.when(n >= 3, F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.substr(low, i, F.lit(3)))).otherwise(F.array().cast("array<string>"))
+    n = F.char_length(low) - 2
+    characters = F.split(low, "")
+    first, second, third = (F.slice(characters, i, n) for i in (1, 2, 3))
+    pieces = F.zip_with(F.zip_with(first, second, lambda a, b: F.concat(a, b)), third, lambda a, b: F.concat(a, b))
+    return F.when(n > 0, pieces).otherwise(F.array().cast("array<string>"))
 
 
 def retry_after(status: str, header: str) -> Column:

@@ -8,6 +8,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import trigrams
 from ..plans import language as L
 from ..sources.schema import ALBUM_KEY
 
@@ -152,7 +153,7 @@ def title_hits(albums: DataFrame, q: str) -> DataFrame:
         ).alias("s")
     ).scalar()
     hits = albums.filter(reduce(lambda a, b: a & b, [F.contains(low, F.lit(g)) for g in distinct])).withColumn("_s", counts)
-    held = lambda g: F.size(F.filter(F.sequence(F.lit(1), F.char_length(low) - 2), lambda i: F.substr(low, i, F.lit(3)) == g)).cast("double")
+    held = lambda g: F.size(F.filter(trigrams(F.coalesce("title", F.lit(""))), lambda x: x == g)).cast("double")
     n, average = F.col("_s.n"), F.col("_s.all_length") / F.col("_s.n")
     score = F.lit(0.0)
     for g in wanted:

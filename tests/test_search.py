@@ -120,3 +120,16 @@ def test_substring_search_stays_in_generated_code(tables):
     f, _ = tables
     plan = S.file_hits(f, '"silver mirror" alpha')._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"\*\(\d+\) Filter", plan) and "lambda" not in plan
+
+
+def test_trigrams_of_a_very_long_name(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from tesserae.functions.scalars import trigrams
+
+    rows = spark.createDataFrame([("Añ😀b",), ("ab",), ("",), (None,), ("xyz" * 60_000,)], "v string")
+    began = time.perf_counter()
+    got = [r[0] for r in rows.select(F.when(F.char_length("v") < 9, trigrams("v")).otherwise(F.array(F.size(trigrams("v")).cast("string")))).collect()]
+    assert got == [["añ😀", "ñ😀b"], [], [], ["0"], ["179998"]] and time.perf_counter() - began < 20

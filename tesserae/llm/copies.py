@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.storage import Conflict, Pointers
+from . import overhangs
 
 BUCKETS = 1024
 #: A key with at least this share of all rows is hot; there are at most 1 / HOT_SHARE of them.
@@ -41,7 +42,7 @@ HOT_SHARE = 0.001
 HOT_LEAST = 1000
 #: Texts of up to so many words are met by all orders of their words, longer ones are compared.
 ORDERED = 5
-#: Steps of the comparison of longer texts that hold the same words in part.
+#: Steps in which longer texts are compared by their pieces; what these leave open is settled by ``overhangs``.
 SEARCHED = 20_000
 _BETWEEN = r"[\p{P}\p{Z}\p{C}\s+~|^=<>$`´¨]+"
 _ENDING = r"\.([a-z0-9]{1,5})$"
@@ -217,13 +218,12 @@ def _runs_alike(one: list[str], two: list[str]) -> bool:
     The letters then fall into pieces that both sides spell, and the pieces
     may come in any order; so the piece that holds the longest word is taken
     first, and what is left is the same question.  Words that both sides have
-    are first taken as pieces of their own; whether they are needed as parts
-    of others is then looked for in ``SEARCHED`` steps.
+    are taken as pieces of their own in these steps; where they are needed as
+    parts of others, or the steps run out, :mod:`overhangs` decides.
     """
     common = Counter(one) & Counter(two)
     # (what both sides have left, the word whose pieces are still to be looked for); the last is looked at first
     open_: list[tuple[tuple[str, ...], tuple[str, ...], str]] = [
-        (tuple(sorted(one)), tuple(sorted(two)), ""),
         (tuple(sorted((Counter(one) - common).elements())), tuple(sorted((Counter(two) - common).elements())), ""),
     ]
     seen, budget = set(), [SEARCHED]
@@ -240,7 +240,7 @@ def _runs_alike(one: list[str], two: list[str]) -> bool:
                 return True
         else:
             open_.append((left_one, left_two, max(left_one, key=len)))
-    return False
+    return (bool(common) or budget[0] <= 0) and overhangs.run_alike(one, two)
 
 
 def _cut(spelling: str) -> tuple[str, tuple[str, ...], tuple[str, ...]]:
